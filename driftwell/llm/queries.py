@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets
+from . import chat, ctph, langid, packing, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~langid.held_out(5)))
+    return langid.predict(docs, profiles).select("doc_id", langid.held_out(5).alias("held_out"), "lang_pred", "score")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = "</s>[INST] ok [/INST]"
@@ -45,6 +56,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(names)], F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op6_packing, op7_secret_scans)}
+def op10_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op10_fuzzy_hash)}
 #: SQL for DuckDB with the same rows, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {}
