@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctph, langid, packing, repeats, scoring, secrets, simhash
+from . import chat, ctph, decontamination, langid, packing, repeats, scoring, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("at")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(~langid.held_out(5)))
@@ -69,6 +73,6 @@ def op10_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op9_lm_scoring, op10_fuzzy_hash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op9_lm_scoring, op10_fuzzy_hash)}
 #: SQL for DuckDB with the same rows, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {}
