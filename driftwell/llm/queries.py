@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctph, decontamination, langid, packing, repeats, scoring, secrets, simhash
+from . import chat, ctph, decontamination, extraction, langid, packing, repeats, scoring, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(names)], F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), ~langid.held_out(10))
 
@@ -73,6 +78,6 @@ def op10_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op9_lm_scoring, op10_fuzzy_hash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op8_html_extraction, op9_lm_scoring, op10_fuzzy_hash)}
 #: SQL for DuckDB with the same rows, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {}
