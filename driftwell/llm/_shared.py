@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one bucket of documents holds on average. A bucket is what one Python call sees.
@@ -51,3 +51,8 @@ def in_buckets(docs: DataFrame, total: int, *cols: str, bucket_bytes: int = BUCK
     n = max(partitions(docs.sparkSession), math.ceil(total / (64 << 20)))
     bucket = F.pmod(F.xxhash64(*cols), F.lit(n_buckets)).cast("int").alias("bucket")
     return docs.select(bucket, *cols).repartition(n, "bucket")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct named row, so that names of helper columns cannot clash with its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import whole_row
+
 WINDOW, SHARE, PASSAGE, LITERALS = 5, 0.8, 12, 3
 #: Item windows up to which they are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -108,6 +110,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak an item, all columns as they are."""
-    gone = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("at").alias("_at")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_at": F.xxhash64("text")})
-    return rows.join(gone.hint("shuffle_hash"), ["_id", "_none", "_at"], "left_anti").select(*docs.columns)
+    gone = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "at").distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("at"), whole_row(docs))
+    return rows.join(gone.hint("shuffle_hash"), ["id", "none", "at"], "left_anti").select("row.*")

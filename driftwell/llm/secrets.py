@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import whole_row
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -91,18 +93,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     found, _ = scan(docs, None, rules, version)
     # Findings by blob, so that rows with a null or repeated id are not multiplied.
     hits = found.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
-    names = docs.columns
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(hits.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
+    rows = docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"), F.col("text").alias("clear"), whole_row(docs))
+    joined = rows.join(hits, "blob", "left")
 
     def cut_at(state: Column, s: Column) -> Column:
-        gap = F.col("text").substr(state["at"].cast("int") + 1, F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        gap = F.col("clear").substr(state["at"].cast("int") + 1, F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
         fresh = s["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
-    rest = lambda s: F.concat(s["out"], F.col("text").substr(s["at"].cast("int") + 1, F.length("text")))
-    clean = F.aggregate(F.col("_spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut_at, rest)
-    hit = F.col("_spans").isNotNull()
-    out = joined.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    rest = lambda s: F.concat(s["out"], F.col("clear").substr(s["at"].cast("int") + 1, F.length("clear")))
+    clean = F.aggregate(F.col("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut_at, rest)
+    masked = joined.select("row", F.when(F.col("spans").isNotNull(), clean).alias("masked"))
+    new = {"text": F.coalesce("masked", F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("masked").cast(docs.schema["n_chars"].dataType), F.col("row")["n_chars"])
+    return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, whole_row
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Offset and width of each segment.
@@ -167,10 +167,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, the one with the smallest id; all columns as they are."""
     kept = classes(docs).groupBy("component", "doc_id", "at").agg(F.count("*").alias("n"))
     kept = kept.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n")).alias("k"))
-    kept = cut(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.at").alias("_at"), F.col("k.n").alias("_n")))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_at": F.xxhash64("text")})
-    kept = kept.withColumn("_id", F.coalesce("_id", F.lit(-(1 << 63))))
-    joined = rows.join(kept.hint("shuffle_hash"), ["_id", "_at"])
-    once = joined.where(F.col("_n") == 1).select(*docs.columns)
-    again = joined.where(F.col("_n") > 1).dropDuplicates(["_id", "_at"]).select(*docs.columns)
+    least = F.lit(-(1 << 63)).cast("long")
+    kept = cut(kept.select(F.coalesce("k.doc_id", least).alias("id"), F.col("k.at").alias("at"), F.col("k.n").alias("n")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.xxhash64("text").alias("at"), whole_row(docs))
+    joined = rows.join(kept.hint("shuffle_hash"), ["id", "at"])
+    once = joined.where(F.col("n") == 1).select("row.*")
+    again = joined.where(F.col("n") > 1).dropDuplicates(["id", "at"]).select("row.*")
     return once.unionByName(again)
