@@ -7,12 +7,13 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..config import Config
 from ..functions.hashing import sign
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def blake_sign(key: pd.Series) -> pd.Series:
     """The sign of ``seed:j:region:bucket`` by BLAKE2s, for a few thousand distinct keys."""
     return key.map(lambda k: 1 - 2 * (hashlib.blake2s(k.encode(), digest_size=8).digest()[-1] & 1)).astype("int32")

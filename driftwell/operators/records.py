@@ -21,10 +21,13 @@ def impute(records: DataFrame, cfg: Config) -> DataFrame:
 
 
 def bucket_of(x: Column, width: float) -> Column:
-    """floor(x / width) by the remainder, which is right for every width; null for NaN and infinities."""
-    whole = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    exact = F.floor(x / F.lit(width)) if width == 5.0 else F.round((x - F.pmod(x, F.lit(width))) / F.lit(width))
-    return F.when(~whole, exact.cast("long"))
+    """x // width for any positive width, from the exact remainder (a rounded quotient may miss by one); null for NaN and
+    infinities."""
+    w = F.lit(float(width))
+    rest = x % w
+    quotient = (x - rest) / w - F.when(rest < 0, 1.0).otherwise(0.0)
+    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(finite, F.round(quotient).cast("long"))
 
 
 def bucketize(imputed: DataFrame, cfg: Config) -> DataFrame:
