@@ -97,7 +97,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = F.sequence(F.array_min("on"), F.array_max("on") + (WINDOW - 1))
     open_ = lambda i: F.get(F.col("item_tokens"), i).isin(NAME, NUMBER, UNIT) & (F.get(F.col("item_tokens"), i) == F.get(F.col("tokens"), i + F.col("line")))
     places = F.filter(places, open_)
-    slot = lambda i: F.struct(F.get(F.col("item_tokens"), i).alias("kind"), F.get(F.col("item_raw"), i).alias("item"), F.get(F.col("raw"), i + F.col("line")).alias("doc"))
+    slot = lambda i: F.struct(F.get(F.col("item_tokens"), i).alias("kind"), F.lower(F.get(F.col("item_raw"), i)).alias("item"), F.lower(F.get(F.col("raw"), i + F.col("line"))).alias("doc"))
     lines = lines.withColumn("slots", F.array_distinct(F.transform(places, slot)))
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[c]))))
     lines = lines.where((F.size("slots") == side("item")) & (F.size("slots") == side("doc")))

@@ -148,7 +148,7 @@ def text_of(page: Page, template: set[int] = frozenset()) -> str:
                 line.append(page.source[a:b])
             continue
         tag = page.tags[a]
-        if tag in BLOCK or tag in NEVER:
+        if tag in BLOCK:
             if line:
                 blocks.append(" ".join(html.unescape("".join(line)).split()))
                 line = []
