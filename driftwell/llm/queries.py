@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ctph, decontamination, extraction, langid, packing, repeats, scoring, secrets, simhash
+from .oracles import ORACLE_SQL  # noqa: F401  SQL for DuckDB with the same rows, where SQL can express a query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +80,3 @@ def op10_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_language_id, op4_simhash, op5_chat_formatting, op6_packing, op7_secret_scans, op8_html_extraction, op9_lm_scoring, op10_fuzzy_hash)}
-#: SQL for DuckDB with the same rows, where SQL can express a query.
-ORACLE_SQL: dict[str, str] = {}
