@@ -58,8 +58,10 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
             break
         levels.append(jumps)
         up = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("total").alias("more"), F.col("size").alias("others"))
-        joined = state.join(up, "ptr", "left")
-        state = cut(joined.select("tree", "id", F.col("next").alias("ptr"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("others", F.lit(0))).alias("size")))
+        # Messages that have reached their root stay as they are; only the others meet what they point to.
+        joined = state.where(F.col("ptr").isNotNull()).join(up, "ptr")
+        moved = joined.select("tree", "id", F.col("next").alias("ptr"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("others")).alias("size"))
+        state = cut(state.where(F.col("ptr").isNull()).unionByName(moved))
     leaves = state.where(F.col("ptr").isNull()).join(nodes.select(F.col("parent").alias("id")), "id", "left_anti")
     place = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), F.desc("size"), "id"))
     chosen = leaves.withColumn("place", place).where(F.col("place") <= per_tree)
