@@ -200,3 +200,15 @@ def test_synthetic_shares(spark):
     assert len(rows) == 950 and rows["reading"].isna().sum() == pytest.approx(950 * 0.04, abs=25)
     assert rows["reading"].max() <= 290 and rows["confidence"].between(0.05, 0.97).all()
     assert math.isclose((rows["note"].str.startswith("forced")).mean(), 0.10, abs_tol=0.04)
+
+
+def test_run_and_compare(spark, tmp_path):
+    from driftwell.__main__ import compare_run, main, run
+
+    cfg = replace(CFG, base_dir=str(tmp_path))
+    run_dir = run(spark, cfg)
+    report = compare_run(spark, run_dir, cfg).collect()
+    assert [r.region for r in report] == ["R2", "R3", "R4"] and all(r.p_hat_ok and r.ci_ok and r.hll_ok for r in report)
+    assert spark.read.json(f"{run_dir}/results/compare.jsonl").count() == 3
+    with pytest.raises(SystemExit):
+        main(["compare"])
