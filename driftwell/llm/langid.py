@@ -6,17 +6,20 @@ n-grams are ranked likewise; the out-of-place distance sums how far each of them
 from its rank in the profile, with the profile's size where it is missing. The closest
 profile wins; the score is how much closer it is than the second, 0 to 1.
 
+An n-gram is a number, its code points in 21 bits each, so a text's n-grams are counted
+by sorting an array.
+
 Defined cases: null text or no letters: ``und`` with score 0; texts without a language
 or without an id teach nothing; no training rows at all: every text is ``und``; equal
-distances go to the first language by name; equal counts rank by a fixed hash of the
-n-gram; repeated rows count each time; an empty table gives no rows; further columns drop.
+distances go to the first language by name; equal counts rank by the n-gram's number;
+repeated rows count each time; an empty table gives no rows; further columns drop.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,87 +27,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GRAMS, PROFILE, TOP = (1, 2, 3), 400, 300
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words a worker remembers the n-grams of; then it starts afresh. Bounds memory, not results.
-CACHE = 300_000
+PROFILE, TOP = 400, 300
+_BITS, _SPACE = np.uint64(21), 0x20
+#: Characters of one language that a task gathers before it counts their n-grams. Bounds memory, not results.
+GATHER = 1 << 20
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
 
+def grams_of(text: str) -> np.ndarray:
+    """All 1- to 3-grams of a text as numbers, repeats included: within words, which stand between single blanks."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letter = _letters()[points]
+    if not letter.any():
+        return np.zeros(0, dtype=np.uint64)
+    after = np.concatenate([[False], letter[:-1]])
+    s = np.where(letter, points, _SPACE)[letter | after]
+    s = np.concatenate([[_SPACE], s, [_SPACE] * int(s[-1] != _SPACE)]).astype(np.uint64)
+    two = s[:-1] << _BITS | s[1:]
+    return np.concatenate([s[s != _SPACE], two, (two[:-1] << _BITS | s[2:])[s[1:-1] != _SPACE]])
 
-def word_grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams in order, and their counts."""
+    s = np.sort(grams)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
 
+def gram_text(gram: int) -> str:
+    parts = [gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF]
+    return "".join(chr(p) for p in parts if p)
 
-def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, str, int]]:
+
+def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
     """(lang, gram, rank from 0): size rows for each language, from all rows of docs (text, lang). Counts are summed
     in each task before they are shuffled; only the profiles reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for lang, counts in words.items():
-                grams: Counter = Counter()
-                for word, n in counts.items():
-                    for g in word_grams(word):
-                        grams[g] += n
-                rows += [(lang, g, n) for g, n in grams.items()]
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+        texts: dict[str, list[str]] = {}
+        held: dict[str, int] = {}
 
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                words.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
-                if sum(map(len, words.values())) > CACHE:
-                    yield flush()
-        yield flush()
+        def count(lang: str) -> pa.RecordBatch:
+            grams, n = counted(grams_of(" ".join(texts.pop(lang))))
+            held[lang] = 0
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram string, n long")
+        for batch in batches:
+            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
+                texts.setdefault(lang, []).append(text)
+                held[lang] = held.get(lang, 0) + len(text)
+                if held[lang] > GATHER:
+                    yield count(lang)
+        for lang in list(texts):
+            yield count(lang)
+
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     sums = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = sums.withColumn("rank", rank - 1).where(F.col("rank") < size)
     return [(r.lang, r.gram, r.rank) for r in top.collect()]
 
 
-def _judge(profiles: list[tuple[str, str, int]], size: int, top: int):
+def _judge(profiles: list[tuple[str, int, int]], size: int, top: int):
     """A function of a text to (language, score), made once in each task."""
-    from xxhash import xxh64_intdigest
-
     langs = sorted({lang for lang, _, _ in profiles})
-    known = np.sort(np.array(list({xxh64_intdigest(g) for _, g, _ in profiles}), dtype=np.uint64))
+    known = np.array(sorted({g for _, g, _ in profiles}), dtype=np.uint64)
     ranks = np.full((len(known) + 1, len(langs)), -1, dtype=np.int32)
     for lang, gram, rank in profiles:
-        ranks[np.searchsorted(known, np.uint64(xxh64_intdigest(gram))), langs.index(lang)] = rank
-    cache: dict[str, np.ndarray] = {}
-
-    def grams(word: str) -> np.ndarray:
-        got = cache.get(word)
-        if got is None:
-            got = np.array([xxh64_intdigest(g) for g in word_grams(word)], dtype=np.uint64)
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[word] = got
-        return got
+        ranks[np.searchsorted(known, np.uint64(gram)), langs.index(lang)] = rank
 
     def judge(text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
-        if not counts or not langs:
+        grams, counts = counted(grams_of(text or ""))
+        if not len(grams) or not langs:
             return "und", 0.0
-        own = [grams(w) for w in counts]
-        ids = np.concatenate(own)
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(own)), [len(x) for x in own])
-        order = np.argsort(ids)
-        ids, times = ids[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ids, times = ids[first], np.add.reduceat(times, first)
-        best = np.argsort(-times, kind="stable")[:top]
-        at = np.searchsorted(known, ids[best])
-        at[known[np.minimum(at, len(known) - 1)] != ids[best]] = len(known)
+        best = grams[np.argsort(-counts, kind="stable")[:top]]
+        at = np.searchsorted(known, best)
+        at[known[np.minimum(at, len(known) - 1)] != best] = len(known)
         theirs = ranks[at]
         away = np.where(theirs < 0, size, np.minimum(np.abs(theirs - np.arange(len(best))[:, None]), size)).sum(axis=0)
         win = int(np.argmin(away))
@@ -116,7 +119,7 @@ def _judge(profiles: list[tuple[str, str, int]], size: int, top: int):
     return judge
 
 
-def predict(docs: DataFrame, profiles: list[tuple[str, str, int]], size: int = PROFILE, top: int = TOP) -> DataFrame:
+def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int = PROFILE, top: int = TOP) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
