@@ -12,8 +12,10 @@ columns are dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +24,60 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
 #: Distinct chunks of text whose ids a worker remembers; then it starts afresh. Bounds memory, not results.
-CACHE = 400_000
+CACHE = 800_000
 #: White space before a blank: there the bounds of tokens depend on what stands around, and the text is encoded whole.
 _MIXED = re.compile(r"\s ")
 
 
-class _Ids(dict):
-    """Ids (little-endian uint32 bytes) of a chunk that follows a blank, by chunk."""
+class Ids:
+    """Ids (little-endian uint32 bytes) of texts. The tokenizer never joins what stands left and right of a blank, a
+    full stop or comma after letters, or a lone line break, so texts go by chunks, and each distinct chunk once."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(" " + chunk)
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = ids
-        return ids
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
 
-    def of(self, text: str) -> bytes:
-        """The tokenizer never joins what stands left and right of a blank, so chunks between blanks go one by one."""
-        if not text:
-            return b""
-        if _MIXED.search(text) or text[0] == " ":
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.encode(first) + b"".join([self[x] for x in rest])
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        self.known.update((c, np.array(x.ids, dtype="<u4").tobytes()) for c, x in zip(chunks, got))
+
+    @staticmethod
+    def _parts(chunk: str) -> list[str]:
+        """A chunk cut where the tokenizer surely cuts."""
+        left, line, right = chunk.partition("\n")
+        if line and left not in ("", " ") and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
+            return [*Ids._parts(left), "\n", *Ids._parts(right)]
+        if chunk[-1:] in (".", ",") and chunk[:-1].lstrip(" ").isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return [chunk]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, split = self.known, []
+        for text in texts:
+            if not text:
+                split.append([])
+            elif text[0] == " " or _MIXED.search(text):
+                split.append([text])
+            else:
+                split.append([text[: text.find(" ")] if " " in text else text, *[" " + x for x in text.split(" ")[1:]]])
+        new = {x: self._parts(x) for chunks in split for x in chunks if x not in known}
+        self._learn([x for x in {p for parts in new.values() for p in parts} if x not in known])
+        for chunk, parts in new.items():
+            if len(parts) > 1:
+                known[chunk] = b"".join([known[p] for p in parts])
+        return [b"".join([known[x] for x in chunks]) for chunks in split]
+
+
+@cache
+def _ids(tokenizer_path: str) -> Ids:
+    """One for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Ids(tokenizer_path)
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -65,17 +92,13 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = 1024, clos
         raise ValueError("sequence_tokens must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        cache, closing = _Ids(tokenizer), np.array([closing_id], dtype="<u4").tobytes()
+        ids_of, closing = _ids(tokenizer_path), np.array([closing_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 rows: list[list] = [[] for _ in range(6)]
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = cache.of(text or "") + closing
+                for doc, ids in zip(part["doc_id"].to_pylist(), ids_of.of([x or "" for x in part["text"].to_pylist()])):
+                    ids += closing
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, sequence_tokens):
                         for column, x in zip(rows, (doc, start, length, n, length.bit_length() - 1, ids[4 * start : 4 * (start + length)])):
