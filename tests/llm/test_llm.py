@@ -290,7 +290,11 @@ def test_token_ids():
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "a", "The", "é", ".", ",", ",,", "'s", "'", "12", "\t", "\x85", "　", "<|endoftext|>", "日本", "don't", "\xa0", "_", "́", " \n", "\n ", ".\n", "\r\n", "ß"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(6000)]
-    ids = packing.Ids(path).of(texts)
+    latin = [chr(c) for c in range(0x250)]
+    texts += [x for c in latin for x in (c, f"a{c}b", f"1{c} {c}2", f" {c}{c} x{c}")] + ["".join(rng.choices(latin, k=rng.randint(1, 12))) for _ in range(5000)]
+    made = packing.Ids(path)
+    assert made.ranked is not None
+    ids = made.of(texts)
     assert all(np.frombuffer(x, "<u4").tolist() == encode(t) for t, x in zip(texts, ids))
 
 
