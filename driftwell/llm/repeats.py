@@ -99,9 +99,10 @@ def recurring_words(h: np.ndarray, before: np.ndarray, first: np.ndarray, k: int
     n, docs = len(h), len(before) - 1
     covered = np.zeros(n + 1, dtype=np.int64)
     own = np.repeat(np.arange(docs), np.diff(before))
-    per_shard = max(1, SHARD_WORDS // k)
-    for at in range(0, len(first), per_shard):
-        places = first[at : at + per_shard]
+    # Shards by the words that phrases cover: one that overlaps the phrase before it adds only what is new.
+    added = np.minimum(np.diff(first, prepend=first[0] - k), k)
+    shards = np.cumsum(added) // SHARD_WORDS
+    for places in np.split(first, np.flatnonzero(np.diff(shards)) + 1):
         inside = np.zeros(n + 1, dtype=np.int64)
         np.add.at(inside, places, 1)
         np.add.at(inside, places + k, -1)
@@ -127,10 +128,15 @@ def recurring_words(h: np.ndarray, before: np.ndarray, first: np.ndarray, k: int
             run = to
         automaton.make_automaton()
         hit = bytearray(len(text))
-        for end, size in automaton.iter(text):
-            for i in range(max(0, end + 1 - k), end + 2 - size):
-                if not hit[i] and text[i : i + k] in phrases:
-                    hit[i] = 1
+        # A phrase has vocabulary words only, so stretches of fewer than k of these hold none.
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], spread >= 3, [False]])))
+        for a, b in edges.reshape(-1, 2).tolist():
+            if b - a < k:
+                continue
+            for end, size in automaton.iter(text, a, b):
+                for i in range(max(a, end + 1 - k), end + 2 - size):
+                    if not hit[i] and text[i : i + k] in phrases:
+                        hit[i] = 1
         hits = np.flatnonzero(np.frombuffer(hit, dtype=np.uint8))
         hits -= np.searchsorted(before[1:] + np.arange(docs), hits, side="right")
         np.add.at(covered, hits, 1)
