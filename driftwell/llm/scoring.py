@@ -66,11 +66,16 @@ def _range_cuts(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _narrow(c: np.ndarray) -> bytes:
-    return c.astype("<u4" if c.max(initial=0) < 1 << 32 else "<u8").tobytes()
+    """Counts by bytes of equal weight, lowest first: the higher ones are zeros, which compress away in the shuffle."""
+    width = 4 if c.max(initial=0) < 1 << 32 else 8
+    return np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    width = len(raw) // n
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _pack(h: np.ndarray, kind: int) -> bytes:
