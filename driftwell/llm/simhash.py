@@ -11,6 +11,12 @@ fingerprints share are not paired: there each fingerprint meets its links at the
 one bit away, of which any two links share one, and all that meet at a word are linked.
 Components come from alternating large-star and small-star rounds.
 
+``deduplicate`` can also link near copies: texts whose sets of five-word shingles (of ASCII
+lower case) have a Jaccard index of 0.8 or more. Candidates share one of 32 bands of five
+minima, which misses a pair at exactly 0.8 three times in a million; each candidate is
+verified on the whole sets. Texts under a key that very many share are paired in small
+random blocks, other ones for each of their keys.
+
 Defined cases: fewer than three words: the whole sequence is one shingle; no words or
 null text: fingerprint zero, linked like any other; null ids count last for the smallest
 id, and a component of null ids only has a null id; repeated rows share a component; an
@@ -27,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _arrays
 from ._shared import cut, whole_row
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
@@ -36,6 +43,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Distinct fingerprints under one key above which they meet at words one bit away instead of in pairs. Both ways are exact.
 PAIRED_KEY = 32
+#: Words of a shingle and Jaccard index from which texts are near copies; bands and minima in each.
+NEAR_WORDS, NEAR_SHARE, BANDS, MINIMA = 5, 0.8, 32, 5
+#: Texts in a block on average, where more than PAIRED_KEY share a band's key.
+BLOCK = 4
+_MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * MINIMA, 1), dtype=np.uint64)
+_MULTIPLY |= np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -151,11 +164,79 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, at, fp, component (its root fingerprint), component_id (smallest doc_id) for each row of docs."""
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct hashes, in rising order, of each text's five-word shingles; fewer words are one shingle, none give none."""
+    buf, off = _arrays.text_buffer(texts)
+    buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+    starts, ends, before = _arrays.word_bounds(buf, off)
+    words = _arrays.word_hashes(buf, starts, ends)
+    runs = _arrays.run_hashes(words, NEAR_WORDS)
+    own = lambda s, e: np.unique(runs[s : e - NEAR_WORDS + 1]) if e - s >= NEAR_WORDS else _arrays.run_hashes(words[s:e], e - s) if e > s else runs[:0]
+    return [own(s, e) for s, e in zip(before[:-1].tolist(), before[1:].tolist())]
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima."""
+    least = np.full(BANDS * MINIMA, np.uint64((1 << 64) - 1))
+    for at in range(0, len(shingles), 1 << 10):
+        np.minimum(least, (shingles[at : at + (1 << 10)] * _MULTIPLY + _ADD).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, MINIMA).T:
+        keys = _arrays.mix(keys + column)
+    return keys
+
+
+def near_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between the fingerprints of texts that are near copies; prints: at, fp."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            sets = shingle_sets(batch["text"])
+            some = [i for i, x in enumerate(sets) if len(x)]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[band_keys(sets[i]) for i in some]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(at[some], BANDS))], names=["key", "at"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["at"], pa.array([x.tobytes() for x in shingle_sets(batch["text"])], pa.binary())], names=["at", "shingles"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= NEAR_SHARE * max(len(x), len(y)) else 0
+                near.append(both >= NEAR_SHARE * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    texts = docs.select(F.xxhash64("text").alias("at"), "text")
+    keys = cut(texts.mapInArrow(keyed, "key long, at long").distinct())
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    block = F.when(F.col("n") > PAIRED_KEY, F.pmod(F.xxhash64("key", "at"), F.ceil(F.col("n") / BLOCK))).otherwise(0)
+    blocks = keys.join(sizes, "key").groupBy("key", block.alias("block")).agg(F.collect_list("at").alias("ats"))
+    each = F.flatten(F.transform("ats", lambda a: F.transform(F.filter("ats", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = blocks.where(F.size("ats") > 1).select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
+    # Of pairs whose fingerprints are linked anyway nothing more is to be learnt.
+    known = prints.select("at", "fp", "component").distinct()
+    side = lambda c, fp, of: known.select(F.col("at").alias(c), F.col("fp").alias(fp), F.col("component").alias(of))
+    pairs = cut(pairs.join(side("a", "fa", "ca"), "a").join(side("b", "fb", "cb"), "b").where("ca <> cb").drop("ca", "cb"))
+    asked = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
+    sets = cut(texts.join(asked, "at", "left_semi").dropDuplicates(["at"]).mapInArrow(whole, "at long, shingles binary"))
+    full = pairs.join(sets.select(F.col("at").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("at").alias("b"), F.col("shingles").alias("y")), "b")
+    found = full.select(F.col("fa").alias("a"), F.col("fb").alias("b"), "x", "y").mapInArrow(verified, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, near: bool = False) -> DataFrame:
+    """doc_id, at, fp, component (its root fingerprint), component_id (smallest doc_id) for each row of docs; near: whether near copies link too."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    edges = cut(links(distinct)) if near else links(distinct)
+    roots = components(edges).withColumnRenamed("node", "fp")
+    if near:
+        linked = prints.join(roots, "fp", "left").select("at", "fp", F.coalesce("root", "fp").alias("component"))
+        roots = components(edges.unionByName(near_links(docs, linked))).withColumnRenamed("node", "fp")
     own = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
     own = cut(own)
     ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -163,9 +244,9 @@ def classes(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "at", "fp", "component", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, the one with the smallest id; all columns as they are."""
-    kept = classes(docs).groupBy("component", "doc_id", "at").agg(F.count("*").alias("n"))
+def deduplicate(docs: DataFrame, near: bool = False) -> DataFrame:
+    """One row of docs for each component, the one with the smallest id; all columns as they are. near: as in classes."""
+    kept = classes(docs, near).groupBy("component", "doc_id", "at").agg(F.count("*").alias("n"))
     kept = kept.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n")).alias("k"))
     least = F.lit(-(1 << 63)).cast("long")
     kept = cut(kept.select(F.coalesce("k.doc_id", least).alias("id"), F.col("k.at").alias("at"), F.col("k.n").alias("n")))
