@@ -2,14 +2,16 @@
 
 Numbers, names (capitalised words within a sentence) and units after a number become
 typed placeholders, so a question with other parameters keeps its template. All windows
-of five template tokens of all documents are hash-joined to those of the benchmark. Along
-each alignment of a document with an item, the slots must be filled consistently: one
-value of the item goes with one value of the document and the other way round. Windows of
-consistent alignments count. A document leaks an item if it holds 0.8 of the item's
+of five tokens of all documents, as templates and as written, are hash-joined to those of
+the benchmark. Along each alignment so found all windows of the item are compared: one as
+written counts, one by placeholders if its run of matching tokens holds three literal ones.
+The slots must be filled consistently: one value of the item goes with one value of the
+document and the other way round. Windows of consistent alignments count. A document leaks an item if it holds 0.8 of the item's
 windows or more, or 12 of them, a passage of about 16 words.
 
-Defined cases: null and empty texts, and items under five tokens, match nothing; item
-windows with fewer than three literal tokens are left out; rows of documents are told
+Defined cases: null and empty texts, and items under five tokens, match nothing; template
+windows with fewer than three literal tokens lead to no document, unless nearly all of the
+item's are such; rows of documents are told
 apart by id and text, so null and repeated ids are judged each by their own text; rows
 repeated whole give one pair; other columns are dropped by ``leaks``, kept by ``clean``;
 empty tables give no pairs. Characters U+E000 to U+E002 in a text count as placeholders.
@@ -63,42 +65,70 @@ def _windows(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(tokens) - WINDOW), hash_at))
 
 
+def _with(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are computed once, not again wherever a lambda names them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
+def _literals(tokens: Column, at: Column) -> Column:
+    return F.size(F.filter(F.slice(tokens, at + 1, WINDOW), lambda t: ~t.isin(NAME, NUMBER, UNIT)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, at, item_id, n_hit, n_windows, share, n_slots, reparameterised) of documents (doc_id, text) and items
     (item_id, text). at: hash of the document's text. reparameterised: whether a slot holds another value than the item's."""
     at = F.xxhash64("text").alias("at")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at, "text")
-    items = templates(benchmark, "item_id").withColumnsRenamed({"raw": "item_raw", "tokens": "item_tokens"})
-    # A text in one case shows no names: items are looked for in both forms.
+    lowered = lambda raw: F.transform(raw, lambda t: F.lower(t))
+    items = templates(benchmark, "item_id").withColumns({"item_raw": lowered(F.col("raw")), "item_tokens": F.col("tokens")}).drop("raw", "tokens")
+    # A text in one case shows no names: items are looked for in both forms. As written, all windows count as they are.
     form = lambda c: items.select("item_id", F.col(c).alias("form")).select("item_id", "form", F.posexplode(_windows(F.col("form"))).alias("ipos", "h"))
-    own = form("item_tokens").unionByName(form("plain"))
+    windows = form("item_tokens").unionByName(form("plain")).withColumn("n_literal", _literals(F.col("form"), F.col("ipos"))).drop("form")
+    rich = windows.groupBy("item_id", "ipos").agg(F.max(F.col("n_literal") >= LITERALS).alias("rich"))
+    sizes = rich.groupBy("item_id").agg(F.count("*").alias("n_windows"), F.count_if(~F.col("rich")).alias("n_poor"))
+    # Of an item that can leak without one window of enough literals, the poorer windows lead to documents as well.
+    bare = F.col("n_windows") - F.col("n_poor") <= F.col("n_windows") * (1 - SHARE)
+    own = windows.join(sizes, "item_id").where((F.col("n_literal") >= LITERALS) | bare & (F.col("n_literal") >= 1))
+    own = own.select("item_id", "ipos", "h").unionByName(form("item_raw").select("item_id", "ipos", "h")).distinct()
     items = items.drop("plain")
-    literal = F.size(F.filter(F.slice("form", F.col("ipos") + 1, WINDOW), lambda t: ~t.isin(NAME, NUMBER, UNIT)))
-    own = own.where(literal >= LITERALS).select("item_id", "ipos", "h").distinct()
-    sizes = own.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
     few = own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     small = F.broadcast if few else (lambda df: df)
-    found = templates(rows, "doc_id", "at").select("doc_id", "at", F.posexplode(_windows(F.col("tokens"))).alias("dpos", "h"))
+    # The windows are made within the generator: elsewhere the tokens would be cut out again for each of them.
+    read = templates(rows, "doc_id", "at").select("doc_id", "at", "tokens", lowered(F.col("raw")).alias("raw"))
+    placed = read.select("doc_id", "at", F.posexplode(F.arrays_zip(_windows(F.col("tokens")), _windows(F.col("raw")))).alias("dpos", "x"))
+    found = placed.select("doc_id", "at", "dpos", F.explode(F.array_distinct(F.array(F.col("x")["0"], F.col("x")["1"]))).alias("h"))
     met = found.join(small(own), "h").select("doc_id", "at", "item_id", "ipos", "dpos")
     enough = lambda n: (n >= F.col("n_windows") * SHARE) | (n >= PASSAGE)
     pairs = met.groupBy("doc_id", "at", "item_id").agg(F.collect_set(F.struct("ipos", "dpos")).alias("met"))
     n_items = lambda met: F.size(F.array_distinct(F.transform(met, lambda p: p["ipos"])))
-    pairs = pairs.join(small(sizes), "item_id").where(enough(n_items(F.col("met"))))
+    # Windows poor in literals are looked at along the alignments only, so any of them may come on top.
+    pairs = pairs.join(small(sizes), "item_id").where(enough(n_items(F.col("met")) + F.col("n_poor"))).drop("n_poor")
     # Slots are read for the few pairs that are left: the documents come by a hash join whose built side these are.
     # Rows repeated whole would come twice, hence distinct after the arrays are gone.
     pairs = pairs.withColumn("null_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     keyed = rows.select(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "at", "text")
     with_text = keyed.join(pairs.hint("shuffle_hash"), ["doc_id", "null_id", "at"]).join(small(items), "item_id")
     apart = _apart(F.coalesce("text", F.lit("")))
-    read = with_text.withColumns({"raw": _tokens(apart), "tokens": _tokens(_template(apart))})
+    read = with_text.withColumns({"raw": lowered(_tokens(apart)), "tokens": _tokens(_template(apart))})
     lines = read.withColumn("line", F.explode(F.array_distinct(F.transform("met", lambda p: p["dpos"] - p["ipos"]))))
-    lines = lines.withColumn("on", F.array_sort(F.transform(F.filter("met", lambda p: p["dpos"] - p["ipos"] == F.col("line")), lambda p: p["ipos"])))
-    # All slots from the first to the last window of the alignment, also those between windows that met.
+    # The item's tokens along the alignment: whether the document has them as written (same), and where they match at least as placeholders.
+    n = F.size("item_tokens")
+    lines = _with(lines, along=F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(F.col("item_tokens"), i).alias("kind"), F.get(F.col("item_raw"), i).alias("item"), F.when(i + F.col("line") >= 0, F.get(F.col("raw"), i + F.col("line"))).alias("doc"), F.when(i + F.col("line") >= 0, F.get(F.col("tokens"), i + F.col("line"))).alias("doc_kind"))))
+    lines = _with(lines.select("doc_id", "null_id", "at", "item_id", "n_windows", "line", "along").withColumnRenamed("along", "pairs"), along=F.transform("pairs", lambda t: F.struct(t["kind"].alias("kind"), t["item"].alias("item"), t["doc"].alias("doc"), F.coalesce(t["item"] == t["doc"], F.lit(False)).alias("same"), F.coalesce((t["item"] == t["doc"]) | (t["kind"] == t["doc_kind"]), F.lit(False)).alias("fits")))).drop("pairs")
+    each = F.sequence(F.lit(0), F.size("along") - 1)
+    token = lambda i: F.get(F.col("along"), i)
+    lines = _with(lines, breaks=F.filter(each, lambda i: ~token(i)["fits"]), literal=F.filter(each, lambda i: token(i)["same"] & ~token(i)["kind"].isin(NUMBER, UNIT)), changed=F.filter(each, lambda i: ~token(i)["same"]))
+    none = lambda places, i: ~F.exists(places, lambda j: (j >= i) & (j < i + WINDOW))
+    lines = _with(lines, fit=F.filter(F.sequence(F.lit(0), F.size("along") - WINDOW), lambda i: none("breaks", i))).where(F.size("fit") > 0)
+    # A run of matching tokens needs as many literal ones as a window did; windows as written need none.
+    between = lambda i, j: ~F.exists("breaks", lambda k: (k > F.least(i, j)) & (k < F.greatest(i, j)))
+    run = lambda i: F.size(F.filter("literal", lambda j: between(i, j))) >= LITERALS
+    lines = _with(lines, on=F.filter("fit", lambda i: none("changed", i) | run(i))).where(F.size("on") > 0)
+    # All slots from the first to the last window of the alignment, also those between windows that count.
     places = F.sequence(F.array_min("on"), F.array_max("on") + (WINDOW - 1))
-    open_ = lambda i: F.get(F.col("item_tokens"), i).isin(NAME, NUMBER, UNIT) & (F.get(F.col("item_tokens"), i) == F.get(F.col("tokens"), i + F.col("line")))
-    places = F.filter(places, open_)
-    slot = lambda i: F.struct(F.get(F.col("item_tokens"), i).alias("kind"), F.lower(F.get(F.col("item_raw"), i)).alias("item"), F.lower(F.get(F.col("raw"), i + F.col("line"))).alias("doc"))
-    lines = lines.withColumn("slots", F.array_distinct(F.transform(places, slot)))
+    places = F.filter(places, lambda i: token(i)["fits"] & token(i)["kind"].isin(NAME, NUMBER, UNIT))
+    slot = lambda i: F.struct(token(i)["kind"].alias("kind"), token(i)["item"].alias("item"), token(i)["doc"].alias("doc"))
+    lines = _with(lines, slots=F.array_distinct(F.transform(places, slot)))
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[c]))))
     lines = lines.where((F.size("slots") == side("item")) & (F.size("slots") == side("doc")))
     other = F.exists("slots", lambda s: s["item"] != s["doc"])
