@@ -6,7 +6,7 @@ of five tokens of all documents, as templates and as written, are hash-joined to
 the benchmark. Along each alignment so found all windows of the item are compared: one as
 written counts, one by placeholders if its run of matching tokens holds three literal ones.
 The slots must be filled consistently: one value of the item goes with one value of the
-document and the other way round. Windows of consistent alignments count. A document leaks an item if it holds 0.8 of the item's
+document. A window that touches a slot of two values counts only as written. A document leaks an item if it holds 0.8 of the item's
 windows or more, or 12 of them, a passage of about 16 words.
 
 Defined cases: null and empty texts, and items under five tokens, match nothing; template
@@ -129,8 +129,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = F.filter(places, lambda i: token(i)["fits"] & token(i)["kind"].isin(NAME, NUMBER, UNIT))
     slot = lambda i: F.struct(token(i)["kind"].alias("kind"), token(i)["item"].alias("item"), token(i)["doc"].alias("doc"))
     lines = _with(lines, slots=F.array_distinct(F.transform(places, slot)))
-    side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[c]))))
-    lines = lines.where((F.size("slots") == side("item")) & (F.size("slots") == side("doc")))
+    # Two values of one item value make its slots odd: windows that touch one count only as written.
+    odd = lambda i: token(i)["fits"] & F.exists("slots", lambda s: (s["kind"] == token(i)["kind"]) & (s["item"] == token(i)["item"]) & (s["doc"] != token(i)["doc"]))
+    lines = _with(lines, odd=F.filter(each, odd))
+    lines = _with(lines, kept=F.filter("on", lambda i: none("changed", i) | none("odd", i))).drop("on").withColumnRenamed("kept", "on").where(F.size("on") > 0)
     other = F.exists("slots", lambda s: s["item"] != s["doc"])
     lines = lines.select("doc_id", "null_id", "at", "item_id", "n_windows", "line", "on", F.size("slots").alias("n"), other.alias("other")).distinct()
     out = lines.groupBy("doc_id", "null_id", "at", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("on")))).alias("n_hit"), F.sum("n").alias("n_slots"), F.bool_or("other").alias("reparameterised"))

@@ -23,3 +23,14 @@ def test_every_item_is_found_in_its_copy(spark, monkeypatch, broadcast):
     got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in got) == [*[(i, i, False) for i in range(len(ITEMS))], (50, 50, True)]
     assert all(r.share == 1.0 for r in got)
+
+STORY = "the old miller said to Anna that the bridge near the quiet river would stay closed all winter and so Anna walked home through the dark forest"
+BOXES = "a box holds 3 red balls and 5 blue balls in the far corner of the room"
+
+
+def test_an_odd_slot_costs_its_own_windows_only(spark):
+    docs = [(1, "Anna".join(STORY.split("Anna")[:2]) + "Berta" + STORY.split("Anna")[2]), (2, BOXES.replace("3", "4").replace("5", "4"))]
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, STORY), (2, BOXES)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
+    by = {r.doc_id: r for r in got}
+    assert by[2].share == 1.0 and by[1].n_windows - 5 == by[1].n_hit
