@@ -12,10 +12,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
-_BYTE = (np.random.default_rng(20240607).integers(1, 2**63, 256).astype(_U) << _U(1)) | _U(1)
-_BYTE[SPACE] = 0
 _R, _Q = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_SLICE = 1 << 21
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,39 +51,55 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each word, equal for equal words only, and the distinct words by number."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.int64), []
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    letters = np.ascontiguousarray(buf[~SPACE[buf]])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def hashed(words: list[bytes], seed: int = 0) -> np.ndarray:
+    """XXH64 of each word."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), dtype=_U, count=len(words))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), dtype=_U)
-    lens = ends - starts
-    powers = np.ones(int(lens.max(initial=0)) + 1, dtype=_U)
-    np.multiply.accumulate(np.concatenate([powers[:1], np.full(len(powers) - 1, _R)]), out=powers)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _SLICE)))
-        lo, hi = starts[at], ends[to - 1]
-        first = starts[at:to] - lo
-        piece = _BYTE[buf[lo:hi]]
-        place = np.arange(hi - lo) - np.repeat(first, np.diff(np.append(first, hi - lo)))
-        np.minimum(place, len(powers) - 1, out=place)
-        piece *= powers[place]
-        out[at:to] = np.add.reduceat(piece, first)
-        at = to
-    return mix(out + lens.astype(_U) * _Q)
+    codes, words = word_codes(buf, starts, ends)
+    return hashed(words, seed)[codes] if len(codes) else np.zeros(0, dtype=_U)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two hashed runs one after the other. Every step is mixed, so no relation between runs carries over."""
+    return mix(mix(a + _R) * _Q + b)
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of h[i:i+k] for each i that has so many, joining runs of doubling length."""
     if len(h) < k:
         return np.zeros(0, dtype=_U)
-    out, have, power, q, bits = None, 0, h, _Q, k
-    size = 1
+    out, have, power, bits, size = None, 0, h, k, 1
     while bits:
         if bits & 1:
-            out = power if out is None else out[: len(power) - have] * q + power[have:] if have else power
+            out = power if out is None else joined(out[: len(power) - have], power[have:])
             have += size
         bits >>= 1
         if bits:
-            power = power[:-size] * q + power[size:]
+            power = joined(power[:-size], power[size:])
             size *= 2
-            q = _U((int(q) * int(q)) & 0xFFFFFFFFFFFFFFFF)
     return mix(out[: len(h) - k + 1])
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """The polynomial rolling hash of h[i:i+k] for each i: the sum of h[i+j] times the (k-1-j)th power of an odd number,
+    modulo 2^64, then mixed."""
+    total = np.zeros(max(0, len(h) - k + 1), dtype=_U)
+    for j in range(k):
+        total = total * _Q + h[j : j + len(total)]
+    return mix(total)

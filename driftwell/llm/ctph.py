@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import mix, run_hashes
+from ._arrays import mix, rolling
 from ._shared import partitions, text_bytes
 
 WINDOW, LEAST_BLOCK, LENGTH, COMMON = 7, 3, 64, 7
@@ -46,7 +46,7 @@ def fingerprint(text: str) -> str:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     if not len(data):
         return f"{LEAST_BLOCK}::"
-    rolled = run_hashes(np.concatenate([np.zeros(WINDOW - 1, dtype=np.uint64), _BYTES[data]]), WINDOW)
+    rolled = rolling(np.concatenate([np.zeros(WINDOW - 1, dtype=np.uint64), _BYTES[data]]), WINDOW)
     trigger = (rolled >> np.uint64(32)).astype(np.uint32)
     block = LEAST_BLOCK
     while block * LENGTH < len(data):

@@ -1,220 +1,346 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model over words and one end token, smoothed by interpolation:
-P(w|h) = BIGRAM c(hw)/c(h) + (1 - BIGRAM) P(w) for a context seen in training, else P(w).
-P(w) = (1 - u) c/N for known words and u for all others together, u being the share of
-training tokens that occur once (Good-Turing). As an automaton: a state for each known
-context, an arc for each seen bigram that carries its whole probability, and a failure
-arc to the root that carries 1 - BIGRAM; the root has an arc for each word. A text is read
-once from left to right from the state of the end token.
-
-Documents are dealt over buckets of a few MB. Each bucket sends its distinct words and
-bigrams with their counts in its training documents, packed into one block for each range
-of hash values; each range sums them and returns to each bucket the totals of what it
-sent. So each bucket compiles the part of the automaton that its own documents can reach,
-and reads them through it. Nothing grows with the corpus on any one machine; texts
-are shuffled once, since both uses of the documents read the same exchange.
+The model is a trigram model over words and one end token, smoothed by interpolation:
+P(w|uv) = a c(uvw)/c(uv) + (1 - a) P(w|v) where c(uv) is 2 or more, else P(w|v);
+P(w|v) = b c(vw)/c(v) + (1 - b) P(w) where v was seen in training, else P(w);
+P(w) = (1 - u) c(w)/N for known words and u for all others together, u being the share of
+training tokens that occur once (Good-Turing). The weights a and b depend on the power of
+two that the context's count reaches and are learnt from all training tokens by deleted
+interpolation: the share of tokens that the longer context foretells better, each token
+being taken out of the counts first.
+
+As an automaton: a state for each context, an arc for each seen n-gram that carries its
+whole probability, a failure arc to the next shorter context that carries 1 - a or 1 - b;
+the root has an arc for each word. A text is read once from left to right from the state
+of the end token; where the state has no arc for a word, failure arcs are followed until
+one has; the arc leads to the longest context that is a state.
+
+Documents are dealt over buckets of a few MB. Each bucket sends its distinct words (as
+they are) and bigrams (hashed) with their counts in its training documents, packed into
+one block for each range of hash values; each range sums them and returns to each bucket
+the totals of what it sent. Trigrams whose first two words have a state follow in a second
+round, the weights in a third. So each bucket compiles the part of the automaton that its
+own documents can reach, and reads them through it. Nothing grows with the corpus on any
+one machine; texts are shuffled once, since all uses read the same exchange.
+
+Counts of words are exact. Of two different n-grams of two or three words one in about a
+hundred million shares its hash with another, at any size of input.
 
 Defined cases: null and empty texts hold the end token alone; a null id is held out;
-without training documents every token is unknown; repeated rows count each time; other
-columns are dropped; an empty table gives no rows.
+without training documents every token is unknown; repeated rows count each time; equal
+forecasts vote for the shorter context; other columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import mix, text_buffer, word_bounds, word_hashes
-from ._shared import BUCKET_BYTES, in_buckets, text_bytes
+from ._arrays import hashed, joined, text_buffer, word_bounds, word_codes
+from ._shared import BUCKET_BYTES, grown, in_buckets, n_tasks, text_bytes
 
-#: Weight of the bigram estimate.
-BIGRAM = 0.3
 RANGE_BYTES = 16 << 20
+#: Least count of a context of two words that makes a state.
+STATE = 2
+#: Powers of two that contexts' counts are told apart by.
+BINS = 48
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Low bits that hashes leave free: one for words, eight for bigrams, which are sent in seven bytes.
-_WORD, _PAIR = ~_U(1), ~_U(0xFF)
-_END = mix(np.array([0x656E64], dtype=_U))[0] & _WORD
-WORDS, PAIRS = 0, 1
+#: The end token's name among words: no word holds a tab.
+_END = b"\t"
+WORDS, PAIRS, TRIPLES, MODEL = 0, 1, 2, 3
 
 
-def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, of each with the one before it, and the tokens before each text (one more than texts)."""
-    buf, off = text_buffer(texts)
-    buf = _LOWER[buf]
-    starts, ends, before = word_bounds(buf, off)
-    words = np.insert(word_hashes(buf, starts, ends) & _WORD, before[1:], _END)
-    last = np.concatenate([[_END], words[:-1]]).astype(_U)
-    pairs = mix(last * _U(0x9E3779B97F4A7C15) + mix(words)) & _PAIR
-    return words, pairs, before + np.arange(len(before))
+def hash_bits(total: int) -> int:
+    """Bits of an n-gram's hash: 24 more than a number for each byte of text takes."""
+    return min(62, max(total, 1 << 16).bit_length() + 24)
 
 
-def _distinct(s: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+class Tokens:
+    """A bucket's tokens: a number for each (0 is the end token), the distinct words, and where each text starts."""
 
+    def __init__(self, docs: pa.Table, n_ranges: int, bits: int):
+        buf, off = text_buffer(docs["text"])
+        buf = _LOWER[buf]
+        starts, ends, before = word_bounds(buf, off)
+        codes, words = word_codes(buf, starts, ends)
+        self.n_ranges, self.bits, self.words = n_ranges, bits, [_END, *words]
+        self.ids = np.insert(codes + 1, before[1:], 0)
+        self.bounds = before + np.arange(len(before))
+        self.train = np.repeat(docs["train"].to_numpy().astype(bool), np.diff(self.bounds))
+        self.hashes = hashed(self.words)
+        self.last = np.concatenate([[0], self.ids[:-1]]).astype(np.int64)
+        self.full = joined(self.hashes[self.last], self.hashes[self.ids])
+        #: Whether a token has two tokens before it that can be its context: all but the first of each text.
+        self.inner = np.ones(len(self.ids), dtype=bool)
+        self.inner[self.bounds[:-1]] = False
 
-def _range_cuts(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    at = ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
-    cuts = _distinct(at)
-    return cuts, at[cuts]
+    def pairs(self) -> np.ndarray:
+        return self.full >> _U(64 - self.bits)
 
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        return joined(self.full[at - 1], self.hashes[self.ids[at]]) >> _U(64 - self.bits)
 
-def _narrow(c: np.ndarray) -> bytes:
-    """Counts by bytes of equal weight, lowest first: the higher ones are zeros, which compress away in the shuffle."""
-    width = 4 if c.max(initial=0) < 1 << 32 else 8
-    return np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    def ranges(self, h: np.ndarray, bits: int) -> np.ndarray:
+        return ((h >> _U(bits - 32)) * _U(self.n_ranges) >> _U(32)).astype(np.int64)
 
+    def word_blocks(self) -> list[tuple[int, np.ndarray]]:
+        """(range, numbers of its words) in a set order: of the range, then of the word's hash."""
+        order = np.argsort(self.hashes, kind="stable")
+        at = self.ranges(self.hashes[order], 64)
+        cuts = _distinct(at)
+        return list(zip(at[cuts].tolist(), np.split(order, cuts[1:])))
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    width = len(raw) // n
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
+def _distinct(s: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 
-def _pack(h: np.ndarray, kind: int) -> bytes:
-    return h.tobytes() if kind == WORDS else np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
 
+def _planes(c: np.ndarray, width: int = 8) -> bytes:
+    """Numbers by bytes of equal weight, lowest first: the higher ones are mostly zeros, which compress away in the shuffle."""
+    return np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
-def _unpack(raw: bytes, kind: int) -> np.ndarray:
-    if kind == WORDS:
-        return np.frombuffer(raw, dtype="<u8")
-    wide = np.zeros((len(raw) // 7, 8), dtype=np.uint8)
-    wide[:, 1:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 7)
-    return wide.view("<u8").ravel()
+
+def _numbers(raw: bytes, width: int = 8) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype=np.int64)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-BLOCK = "bucket int, range int, kind int, hashes binary, counts binary"
-_BLOCK = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+BLOCK = "bucket int, range int, kind int, keys binary, counts binary"
+_BLOCK = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def send(n_ranges: int):
+def _gram_blocks(bucket: int, tokens: Tokens, kind: int, h: np.ndarray, train: np.ndarray) -> list[dict]:
+    """Blocks of distinct n-grams, sorted, as differences, with their counts in training documents."""
+    s = np.sort(h << _U(1) | train.astype(_U))
+    first = _distinct(s >> _U(1))
+    h, counts = s[first] >> _U(1), np.add.reduceat((s & _U(1)).astype(np.int64), first) if len(s) else np.zeros(0, np.int64)
+    at = tokens.ranges(h, tokens.bits)
+    cuts = _distinct(at)
+    return [{"bucket": bucket, "range": r, "kind": kind, "keys": _planes(np.diff(own, prepend=_U(0))), "counts": _planes(n)} for r, own, n in zip(at[cuts].tolist(), np.split(h, cuts[1:]), np.split(counts, cuts[1:]))] if len(h) else []
+
+
+def send(n_ranges: int, bits: int):
     """Of a bucket's documents to blocks of its distinct words and bigrams with their counts in training documents."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        words, pairs, before = _tokens(docs["text"])
-        train = np.repeat(docs["train"].to_numpy().astype(_U), np.diff(before))
-        rows: list[dict] = []
-        for kind, h, free in ((WORDS, words, _WORD), (PAIRS, pairs, _PAIR)):
-            s = np.sort(h | train)
-            first = _distinct(s & free)
-            h, counts = s[first] & free, np.add.reduceat(s & _U(1), first) if len(s) else s
-            cuts, ranges = _range_cuts(h, n_ranges)
-            for r, own, n in zip(ranges.tolist(), np.split(h, cuts[1:]), np.split(counts, cuts[1:])):
-                rows.append({"bucket": key[0].as_py(), "range": r, "kind": kind, "hashes": _pack(own, kind), "counts": _narrow(n)})
-        return pa.Table.from_pylist(rows, _BLOCK)
+        tokens, bucket = Tokens(docs, n_ranges, bits), key[0].as_py()
+        counts = np.bincount(tokens.ids[tokens.train], minlength=len(tokens.words))
+        rows = [{"bucket": bucket, "range": r, "kind": WORDS, "keys": b" ".join([tokens.words[i] for i in own.tolist()]), "counts": _planes(counts[own])} for r, own in tokens.word_blocks()]
+        return pa.Table.from_pylist(rows + _gram_blocks(bucket, tokens, PAIRS, tokens.pairs(), tokens.train), _BLOCK)
 
     return run
 
 
-def _sums(blocks: pa.Table, kind: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-    """(buckets, sizes of their blocks, the total for each entry of them all, the totals of distinct entries)."""
-    rows = [r for r in blocks.to_pylist() if r["kind"] == kind]
-    own = [_unpack(r["hashes"], kind) for r in rows]
-    sizes = [len(x) for x in own]
-    if not sum(sizes):
-        return [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, c = np.concatenate(own), np.concatenate([_wide(r["counts"], n) for r, n in zip(rows, sizes)])
-    order = np.argsort(h)
-    s = h[order]
-    first = _distinct(s)
-    totals = np.add.reduceat(c[order], first)
-    each = np.empty(len(h), dtype=np.int64)
-    each[order] = np.repeat(totals, np.diff(np.append(first, len(s))))
-    return [r["bucket"] for r in rows], sizes, each, totals
+def _sums(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the totals for each block's entries, the totals of distinct entries) of blocks of one kind."""
+    if not rows:
+        return [], np.zeros(0, np.int64)
+    counts = [_numbers(r["counts"]) for r in rows]
+    if rows[0]["kind"] == WORDS:
+        keys = pa.array([w for r in rows for w in r["keys"].split(b" ")], pa.binary()).dictionary_encode().indices.to_numpy()
+    else:
+        keys = np.unique(np.concatenate([np.cumsum(_numbers(r["keys"])) for r in rows]), return_inverse=True)[1]
+    totals = np.zeros(int(keys.max()) + 1, dtype=np.int64)
+    np.add.at(totals, keys, np.concatenate(counts))
+    return np.split(totals[keys], np.cumsum([len(c) for c in counts])[:-1]), totals
 
 
-BACK = "bucket int, range int, kind int, counts binary, n long, v long, once long"
-_BACK = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("once", pa.int64())])
+BACK = "bucket int, range int, kind int, counts binary, numbers array<double>"
+_BACK = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("numbers", pa.list_(pa.float64()))])
 
 
 def give_back(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
-    rows = []
-    for kind in (WORDS, PAIRS):
-        buckets, sizes, each, _ = _sums(blocks, kind)
-        for bucket, own in zip(buckets, np.split(each, np.cumsum(sizes)[:-1])):
-            rows.append({"bucket": bucket, "range": key[0].as_py(), "kind": kind, "counts": _narrow(own)})
-    return pa.Table.from_pylist(rows, _BACK)
+    every, out = blocks.to_pylist(), []
+    for kind in (WORDS, PAIRS, TRIPLES):
+        rows = [r for r in every if r["kind"] == kind]
+        out += [{"bucket": r["bucket"], "range": r["range"], "kind": kind, "counts": _planes(own)} for r, own in zip(rows, _sums(rows)[0])]
+    return pa.Table.from_pylist(out, _BACK)
 
 
 def sizes(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     """A range's training tokens, distinct ones, and those that occur once."""
-    totals = _sums(blocks, WORDS)[3]
+    totals = _sums([r for r in blocks.to_pylist() if r["kind"] == WORDS])[1]
     return pa.table({"n": [int(totals.sum())], "v": [int((totals > 0).sum())], "once": [int((totals == 1).sum())]})
 
 
-class Automaton:
-    """The states and arcs that a bucket's documents can reach."""
+class Counts:
+    """A bucket's tokens with the totals over all training documents that came back: of each distinct word, and of the
+    bigram and trigram that end at each token (trigrams: nought where their context has no state)."""
+
+    def __init__(self, docs: pa.Table, back: pa.Table, n_ranges: int, bits: int):
+        rows = back.to_pylist()
+        self.tokens = tokens = Tokens(docs, n_ranges, bits)
+        own = lambda kind: {r["range"]: r["counts"] for r in rows if r["kind"] == kind}
+        self.words = np.zeros(len(tokens.words), dtype=np.int64)
+        got = own(WORDS)
+        for r, which in tokens.word_blocks():
+            self.words[which] = _numbers(got[r])
+        self.pairs = self._grams(tokens.pairs(), own(PAIRS))
+        self.context = np.where(tokens.inner, np.concatenate([[0], self.pairs[:-1]]), 0)
+        self.asked = np.flatnonzero((self.context >= STATE) & (self.pairs > 0))
+        self.triples = np.zeros(len(tokens.ids), dtype=np.int64)
+        got = own(TRIPLES)
+        if got:
+            self.triples[self.asked] = self._grams(tokens.triples(self.asked), got)
+        numbers = next((r["numbers"] for r in rows if r["kind"] == MODEL), None) or [0.0] * 3
+        #: Training tokens, distinct ones, those that occur once; the weights of both contexts by bin, once they are learnt.
+        self.model, self.weights = numbers[:3], np.array(numbers[3:]).reshape(-1, BINS)
+
+    @staticmethod
+    def _grams(h: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
+        _, which = np.unique(h, return_inverse=True)
+        return np.concatenate([np.zeros(0, np.int64), *[_numbers(got[r]) for r in sorted(got)]])[which]
+
+
+def ask(n_ranges: int, bits: int):
+    """Of a bucket's documents and their bigrams' totals to blocks of the trigrams whose context has a state."""
+
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.Table.from_pylist([], _BLOCK)
+        c = Counts(docs, back, n_ranges, bits)
+        return pa.Table.from_pylist(_gram_blocks(docs["bucket"][0].as_py(), c.tokens, TRIPLES, c.tokens.triples(c.asked), c.tokens.train[c.asked]), _BLOCK)
 
-    def __init__(self, n: int, v: int, once: int, context_counts: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray):
-        self.unknown = (once + 1) / (n + 2)
-        root = np.where(word_counts > 0, (1 - self.unknown) * word_counts / max(n, 1), self.unknown)
-        self.root_arc = np.log10(root)
-        self.failure_arc = np.where(context_counts > 0, math.log10(1 - BIGRAM), 0.0)
-        seen = pair_counts > 0
-        self.arc = np.where(seen, np.log10(BIGRAM * pair_counts / np.maximum(context_counts, 1) + (1 - BIGRAM) * root), 0.0)
-        self.has_arc = seen
+    return run
 
-    def steps(self) -> np.ndarray:
-        """The weight of each step: the arc where the state has one, else the failure arc and the root's arc. After a word
-        the state is that word's, whichever way it was reached, so all steps of a bucket are taken at once."""
-        return np.where(self.has_arc, self.arc, self.failure_arc + self.root_arc)
+
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(counts.astype(np.float64))[1], BINS - 1)
+
+
+def votes(n_ranges: int, bits: int):
+    """Of a bucket's training tokens: how many of each bin the context of two words or of one (order) foretells best, and how many there are."""
+
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, back: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        if len(docs):
+            c = Counts(docs, back, n_ranges, bits)
+            t, n = c.tokens, c.model[0]
+            own = np.flatnonzero(t.train)
+            before = c.words[t.last[own]]
+            one = (c.words[t.ids[own]] - 1) / max(n - 1, 1)
+            two = np.where(before > 1, (c.pairs[own] - 1) / np.maximum(before - 1, 1), 0.0)
+            three = np.where(c.context[own] >= STATE, (c.triples[own] - 1) / np.maximum(c.context[own] - 1, 1), 0.0)
+            for order, counts, won in ((2, before, two > one), (3, c.context[own], three > np.maximum(two, one))):
+                bins = _bin(counts)
+                total, hits = np.bincount(bins, minlength=BINS), np.bincount(bins[won], minlength=BINS)
+                out += [{"order": order, "bin": int(b), "won": int(hits[b]), "total": int(total[b])} for b in np.flatnonzero(total)]
+        return pa.Table.from_pylist(out, pa.schema([("order", pa.int32()), ("bin", pa.int32()), ("won", pa.int64()), ("total", pa.int64())]))
+
+    return run
+
+
+class Automaton:
+    """The states and arcs that a bucket's documents can reach. State 0 is the root; then one for each word; then one for
+    each context of two words, by its first place."""
+
+    def __init__(self, c: Counts):
+        t = c.tokens
+        n, _, once = c.model
+        weight = lambda order, counts: c.weights[order - 2][_bin(counts)]
+        unknown = (once + 1) / (n + 2)
+        one = np.where(c.words > 0, (1 - unknown) * c.words / max(n, 1), unknown)
+        size = len(t.words)
+        # Contexts of two words: the token before and the one before that, seen STATE times or more.
+        stated = t.inner & (c.context >= STATE)
+        before = np.flatnonzero(stated) - 1
+        _, place, number = np.unique(t.full[before], return_index=True, return_inverse=True)
+        self.width = size
+        two_state = np.zeros(len(t.ids), dtype=np.int64)
+        two_state[before] = 1 + size + number
+        #: The state after each token: the longest context that is one. Words never seen in training lead to the root.
+        word_state = np.where(c.words > 0, np.arange(1, size + 1), 0)
+        after = np.where(two_state > 0, two_state, word_state[t.ids])
+        self.start = int(word_state[0])
+        b = weight(2, c.words)
+        a = weight(3, c.pairs[before[place]])
+        safe = lambda x: np.log10(np.maximum(x, 1e-300))
+        self.fail_weight = np.concatenate([[0.0], safe(1 - b), safe(1 - a)]).tolist()
+        self.fail = np.concatenate([[0], np.zeros(size, np.int64), word_state[t.ids[before[place]]]]).tolist()
+        # Arcs of the root, of words, of contexts; each leads where the token's own place says.
+        roots = np.unique(t.ids)
+        two = b[t.last] * c.pairs / np.maximum(c.words[t.last], 1) + (1 - b[t.last]) * one[t.ids]
+        two = np.where(c.words[t.last] > 0, two, one[t.ids])
+        pair_at = np.flatnonzero((c.pairs > 0) & (c.words[t.last] > 0))
+        pair_at = pair_at[np.unique(t.full[pair_at], return_index=True)[1]]
+        triple_at = np.flatnonzero(stated & (c.triples > 0))
+        state = two_state[triple_at - 1]
+        keys = state * size + t.ids[triple_at]
+        keys, which = np.unique(keys, return_index=True)
+        triple_at = triple_at[which]
+        a_at = weight(3, c.context[triple_at])
+        three = a_at * c.triples[triple_at] / c.context[triple_at] + (1 - a_at) * two[triple_at]
+        arcs = np.concatenate([roots, word_state[t.last[pair_at]] * size + t.ids[pair_at], keys])
+        self.arcs = dict(zip(arcs.tolist(), range(len(arcs))))
+        self.weights = safe(np.concatenate([one[roots], two[pair_at], three])).tolist()
+        self.next = np.concatenate([word_state[roots], after[pair_at], after[triple_at]]).tolist()
+        # A bigram with a state leads there whichever arc the word was read by.
+
+    def read(self, ids: list[int]) -> float:
+        """The log10 probability of a text: one traversal from left to right."""
+        arcs, weights, following, fail, fail_weight, width = self.arcs, self.weights, self.next, self.fail, self.fail_weight, self.width
+        state, total = self.start, 0.0
+        for w in ids:
+            arc = arcs.get(state * width + w)
+            while arc is None:
+                total += fail_weight[state]
+                state = fail[state]
+                arc = arcs.get(state * width + w)
+            total += weights[arc]
+            state = following[arc]
+        return total
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def read(key: tuple[pa.Scalar, ...], docs: pa.Table, back: pa.Table) -> pa.Table:
-    rows = back.to_pylist()
-    words, pairs, before = _tokens(docs["text"])
-    if not len(docs):
-        return pa.Table.from_pylist([], _OUT)
-    # The row for all buckets: the model's sizes, and in place of a range their number.
-    n_ranges, n, v, once = next((r["range"], r["n"], r["v"], r["once"]) for r in rows if r["kind"] == -1)
-    each = []
-    for kind, h in ((WORDS, words), (PAIRS, pairs)):
-        order = np.argsort(h)
-        s = h[order]
-        first = _distinct(s)
-        parts = {r["range"]: r["counts"] for r in rows if r["kind"] == kind}
-        runs = np.diff(np.append(first, len(s)))
-        got = [parts[r] for r in sorted(parts)]
-        cuts, _ = _range_cuts(s[first], n_ranges)
-        lens = np.diff(np.append(cuts, len(first)))
-        totals = np.concatenate([_wide(raw, int(k)) for raw, k in zip(got, lens, strict=True)]) if got else np.zeros(0, np.int64)
-        own = np.empty(len(h), dtype=np.int64)
-        own[order] = np.repeat(totals, runs)
-        each.append(own)
-    word_counts, pair_counts = each
-    contexts = np.concatenate([[word_counts[before[1] - 1]], word_counts[:-1]])
-    steps = Automaton(n, v, once, contexts, word_counts, pair_counts).steps()
-    base = np.log10((word_counts + 0.1) / (n + 0.1 * (v + 1)))
-    starts = before[:-1]
-    total = lambda x: np.add.reduceat(x, starts)
-    return pa.table({
-        "doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy().astype(bool)), "n_tokens": pa.array(np.diff(before), pa.int64()), "n_known": pa.array(total((word_counts > 0).astype(np.int64)), pa.int64()),
-        "train_tokens": pa.array([n] * len(docs), pa.int64()), "base_score": pa.array(total(base), pa.float64()), "score": pa.array(total(steps), pa.float64()),
-    })
+
+def read(n_ranges: int, bits: int):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
+        c = Counts(docs, back, n_ranges, bits)
+        t, (n, v, _) = c.tokens, c.model
+        automaton, ids, bounds = Automaton(c), t.ids.tolist(), t.bounds.tolist()
+        scores = [automaton.read(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        total = lambda x: np.add.reduceat(x[t.ids], t.bounds[:-1])
+        return pa.table({
+            "doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy().astype(bool)), "n_tokens": pa.array(np.diff(t.bounds), pa.int64()), "n_known": pa.array(total((c.words > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array([int(n)] * len(docs), pa.int64()), "base_score": pa.array(total(np.log10((c.words + 0.1) / (n + 0.1 * (v + 1)))), pa.float64()), "score": pa.array(scores, pa.float64()),
+        })
+
+    return run
 
 
 def score(docs: DataFrame, train: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score for each row of docs;
     train: whether a row is learnt from."""
     total = text_bytes(docs)
+    bucket_bytes = grown(bucket_bytes, total, 64 << 20)
+    n_buckets = max(1, math.ceil(total / bucket_bytes))
+    n_ranges, bits = max(1, math.ceil(total / grown(RANGE_BYTES, total, 256 << 20))), hash_bits(total)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     dealt = in_buckets(rows, total, "doc_id", "text", "train", bucket_bytes=bucket_bytes)
-    n_ranges = max(1, math.ceil(total / RANGE_BYTES))
-    blocks = dealt.groupBy("bucket").applyInArrow(send(n_ranges), BLOCK)
-    back = blocks.groupBy("range").applyInArrow(give_back, BACK)
-    whole = blocks.groupBy("range").applyInArrow(sizes, "n long, v long, once long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once")])
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
-    to_all = whole.select(F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"), F.lit(n_ranges).alias("range"), F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("counts"), "n", "v", "once")
-    return dealt.groupBy("bucket").cogroup(back.unionByName(to_all).groupBy("bucket")).applyInArrow(read, OUT)
+    n = n_tasks(docs.sparkSession, total)
+    by_range = lambda blocks: blocks.repartition(min(n_ranges, n), "range").groupBy("range")
+    with_docs = lambda back: dealt.groupBy("bucket").cogroup(back.groupBy("bucket"))
+    blocks = dealt.groupBy("bucket").applyInArrow(send(n_ranges, bits), BLOCK)
+    back = by_range(blocks).applyInArrow(give_back, BACK)
+    triples = by_range(with_docs(back).applyInArrow(ask(n_ranges, bits), BLOCK)).applyInArrow(give_back, BACK)
+    whole = by_range(blocks).applyInArrow(sizes, "n long, v long, once long").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n", "v", "once")])
+    # One row for each bucket with the numbers that all need.
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket")
+    model = whole.select(each, F.lit(0).alias("range"), F.lit(MODEL).alias("kind"), F.lit(None).cast("binary").alias("counts"), F.array("n", "v", "once").alias("numbers"))
+    known = back.unionByName(triples).unionByName(model).repartition(n, "bucket")
+    cells = with_docs(known).applyInArrow(votes(n_ranges, bits), "order int, bin int, won long, total long").groupBy("order", "bin").agg(((F.sum("won") + 1) / (F.sum("total") + 2)).alias("share"))
+    shares = cells.agg(F.map_from_entries(F.collect_list(F.struct((F.col("order") - 2) * BINS + F.col("bin"), "share"))).alias("shares"))
+    weights = shares.select(F.array(*[F.coalesce(F.try_element_at("shares", F.lit(i)), F.lit(0.0)) for i in range(2 * BINS)]).alias("weights"))
+    learnt = known.crossJoin(F.broadcast(weights)).withColumn("numbers", F.when(F.col("kind") == MODEL, F.concat("numbers", "weights"))).drop("weights")
+    return with_docs(learnt).applyInArrow(read(n_ranges, bits), OUT)

@@ -406,40 +406,97 @@ def test_extraction_of_the_test_pages(spark):
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
 
 
+def plain_model(rows, train):
+    """Tokens, counts and a function of (u, v, w) to a probability, from the definition. u is None at the start."""
+    end = object()
+    tokens = [[*WORDS(LOWER(t)), end] for _, t, _ in rows]
+    one, two, three, starts = (collections.Counter() for _ in range(4))
+    for w, own in zip(tokens, train):
+        if own:
+            one.update(w)
+            two.update(zip([end, *w[:-1]], w))
+            three.update(zip([end, *w[:-2]], w[:-1], w[1:]))
+    n = sum(one.values())
+    unknown = (sum(x == 1 for x in one.values()) + 1) / (n + 2)
+    votes = {2: collections.defaultdict(lambda: [0, 0]), 3: collections.defaultdict(lambda: [0, 0])}
+    for w, own in zip(tokens, train):
+        for i, x in enumerate(w if own else []):
+            v = w[i - 1] if i else end
+            u = (w[i - 2] if i > 1 else end) if i else None
+            context = two[u, v] if i else 0
+            r1 = (one[x] - 1) / max(n - 1, 1)
+            r2 = (two[v, x] - 1) / (one[v] - 1) if one[v] > 1 else 0.0
+            r3 = (three[u, v, x] - 1) / (context - 1) if context > 1 else 0.0
+            for order, count, won in ((2, one[v], r2 > r1), (3, context, r3 > max(r1, r2))):
+                cell = votes[order][count.bit_length()]
+                cell[0] += won
+                cell[1] += 1
+    share = lambda order, count: (votes[order][count.bit_length()][0] + 1) / (votes[order][count.bit_length()][1] + 2) if votes[order][count.bit_length()][1] else 0.0
+
+    def p(u, v, x):
+        got = (1 - unknown) * one[x] / n if one[x] else unknown
+        if one[v]:
+            b = share(2, one[v])
+            got = b * two[v, x] / one[v] + (1 - b) * got
+        if u is not None and two[u, v] > 1:
+            a = share(3, two[u, v])
+            got = a * three[u, v, x] / two[u, v] + (1 - a) * got
+        return got
+
+    return tokens, one, n, end, p
+
+
 @pytest.mark.parametrize("size", [6 << 20, 20_000])
 def test_scoring(docs, rows, size):
-    tokens = [[*WORDS(LOWER(t)), None] for _, t, _ in rows]
     train = [d is not None and zlib.crc32(str(d).encode()) % 10 != 0 for d, _, _ in rows]
-    c, pairs = collections.Counter(), collections.Counter()
-    for w, own in zip(tokens, train):
-        if own:
-            c.update(w)
-            pairs.update(zip([None, *w[:-1]], w))
-    n, v = sum(c.values()), len(c)
-    u = (sum(x == 1 for x in c.values()) + 1) / (n + 2)
+    tokens, c, n, end, p = plain_model(rows, train)
+    v = len(c)
     want = []
     for (d, _, _), w, own in zip(rows, tokens, train):
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        uni = lambda x: (1 - u) * c[x] / n if c[x] else u
-        score = sum(math.log10(0.3 * pairs[h, x] / c[h] + 0.7 * uni(x)) if c[h] else math.log10(uni(x)) for h, x in zip([None, *w[:-1]], w))
+        score = sum(math.log10(p((w[i - 2] if i > 1 else end) if i else None, w[i - 1] if i else end, x)) for i, x in enumerate(w))
         want.append((str(d), not own, len(w), sum(c[x] > 0 for x in w), n, round(base, 5), round(score, 5)))
     got = scoring.score(docs, ~langid.held_out(10), size).collect()
     assert multiset((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == multiset(want)
 
 
 def test_scoring_sums_to_one(spark):
-    """All next tokens of a context, the unknown one included, have probability 1."""
-    text = "a b a c a b d b"
-    words = sorted(set(text.split()))
-    probes = ["a " + w for w in [*words, "zzz"]] + ["a"]
-    df = spark.createDataFrame([(1, text, True), (2, "a b", True), *[(i + 10, p, False) for i, p in enumerate(probes)]], "doc_id long, text string, t boolean")
-    got = {r.doc_id: r.score for r in scoring.score(df, F.col("t")).collect()}
-    alone = got[10 + len(probes) - 1]
-    c, n = collections.Counter([*text.split(), None, "a", "b", None]), 12
-    u = (sum(x == 1 for x in c.values()) + 1) / (n + 2)
-    end = lambda last: math.log10(0.7 * (1 - u) * 2 / n + 0.3 * {"b": 2}.get(last, 0) / c[last]) if c[last] else math.log10((1 - u) * 2 / n)
-    total = sum(10 ** (got[i + 10] - (alone - end("a")) - end(probes[i].split()[1])) for i in range(len(words) + 1)) + 10 ** end("a")
-    assert total == pytest.approx(1.0)
+    """All next tokens of a context of two words, the end and an unknown one included, have probability 1."""
+    texts = ["a b a c a b d b", "a b", "a b a c", "d b a b"]
+    words = sorted(set(" ".join(texts).split()))
+    probes = ["a b " + w for w in [*words, "zzz"]] + ["a b"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(i + 10, p, False) for i, p in enumerate(probes)]
+    got = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), F.col("t")).collect()}
+    tokens, one, n, end, p = plain_model(rows, [t for _, _, t in rows])
+    assert sum(p("a", "b", x) for x in [*words, "zzz", end]) == pytest.approx(1.0)
+    for i, probe in enumerate(probes):
+        w = tokens[len(texts) + i]
+        assert got[10 + i] == pytest.approx(sum(math.log10(p((w[j - 2] if j > 1 else end) if j else None, w[j - 1] if j else end, x)) for j, x in enumerate(w)))
+
+
+#: Two words whose bytes give equal sums under any powers of one odd number, from 1,024 characters on.
+THUE_MORSE = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1)]
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    a, b = THUE_MORSE
+    texts = [(i, " ".join([f"w{j}" for j in range(20)] + [x] + [f"v{j}" for j in range(20)])) for i, x in enumerate((a, b))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for size in (6 << 20, 500):
+        assert [r.n_removed for r in repeats.remove_repeats(df, bucket_bytes=size).collect()] == [0, 0]
+    got = scoring.score(spark.createDataFrame([(1, a, True), (2, b, False)], "doc_id long, text string, t boolean"), F.col("t")).collect()
+    assert {r.doc_id: (r.n_known, r.train_tokens) for r in got} == {1: (2, 2), 2: (1, 2)}
+
+
+def test_phrases_with_equal_hashes_are_compared(monkeypatch):
+    """With a hash that tells nothing apart, the words within a bucket still do."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats.Phrases, "hashes", lambda self, seed: np.zeros(len(self.at), dtype=np.uint64))
+    phrase, other, third = (" ".join(f"{k}{j}" for j in range(35)) for k in "abc")
+    table = pa.table({"bucket": pa.array([0] * 4, pa.int32()), "doc_id": pa.array([1, 2, 3, 4], pa.int64()), "text": [phrase, other, "x " + phrase, third]})
+    got = repeats.remove(35)((pa.scalar(0),), table, pa.table({"hashes": pa.array([], pa.binary()), "kind": pa.array([], pa.int32())}))
+    assert got["n_removed"].to_pylist() == [35, 0, 35, 0]
 
 
 def test_scoring_without_training(docs):
