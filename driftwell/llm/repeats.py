@@ -268,11 +268,12 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, bucket_bytes: int = BUCK
     total = text_bytes(docs)
     bucket_bytes = grown(bucket_bytes, total, 64 << 20)
     dealt = in_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), total, "doc_id", "text", bucket_bytes=bucket_bytes)
-    n_ranges = max(1, math.ceil(total / grown(RANGE_BYTES, total, 256 << 20)))
-    by_range = lambda blocks: blocks.repartition(min(n_ranges, n_tasks(docs.sparkSession, total)), "range").groupBy("range")
+    n_ranges, n = max(1, math.ceil(total / grown(RANGE_BYTES, total, 256 << 20))), n_tasks(docs.sparkSession, total)
+    by_range = lambda blocks: blocks.repartition(min(n_ranges, n), "range").groupBy("range")
     blocks = dealt.groupBy("bucket").applyInArrow(send(n_ranges, words), BLOCK)
-    returned = by_range(blocks).applyInArrow(confirm(False), "bucket int, hashes binary")
+    returned = by_range(blocks).applyInArrow(confirm(False), "bucket int, hashes binary").repartition(n, "bucket")
     again = dealt.groupBy("bucket").cogroup(returned.groupBy("bucket")).applyInArrow(send_again(n_ranges, words), BLOCK)
-    alone = by_range(again).applyInArrow(confirm(True), "bucket int, hashes binary")
+    alone = by_range(again).applyInArrow(confirm(True), "bucket int, hashes binary").repartition(n, "bucket")
+    # Both are dealt alike, so their union needs no exchange of its own, and that of returned serves twice.
     back = returned.withColumn("kind", F.lit(0)).unionByName(alone.withColumn("kind", F.lit(1)))
     return dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(remove(words), OUT)

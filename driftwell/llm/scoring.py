@@ -23,8 +23,8 @@ round, the weights in a third. So each bucket compiles the part of the automaton
 own documents can reach, and reads them through it. Nothing grows with the corpus on any
 one machine; texts are shuffled once, since all uses read the same exchange.
 
-Counts of words are exact. Of two different n-grams of two or three words one in about a
-hundred million shares its hash with another, at any size of input.
+Counts of words are exact. Of two different n-grams of two or three words one in about
+twenty million shares its hash with another, at any size of input.
 
 Defined cases: null and empty texts hold the end token alone; a null id is held out;
 without training documents every token is unknown; repeated rows count each time; equal
@@ -58,8 +58,8 @@ WORDS, PAIRS, TRIPLES, MODEL = 0, 1, 2, 3
 
 
 def hash_bits(total: int) -> int:
-    """Bits of an n-gram's hash: 24 more than a number for each byte of text takes."""
-    return min(62, max(total, 1 << 16).bit_length() + 24)
+    """Bits of an n-gram's hash: 22 more than a number for each byte of text takes."""
+    return min(62, max(total, 1 << 16).bit_length() + 22)
 
 
 class Tokens:
@@ -102,15 +102,25 @@ def _distinct(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 
 
-def _planes(c: np.ndarray, width: int = 8) -> bytes:
-    """Numbers by bytes of equal weight, lowest first: the higher ones are mostly zeros, which compress away in the shuffle."""
-    return np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+def _packed(raw: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
-def _numbers(raw: bytes, width: int = 8) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, dtype=np.int64)
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+def _unpacked(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _planes(c: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, lowest first: the higher ones are mostly zeros, which compress away."""
+    return _packed(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(raw), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 BLOCK = "bucket int, range int, kind int, keys binary, counts binary"
@@ -133,7 +143,7 @@ def send(n_ranges: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         tokens, bucket = Tokens(docs, n_ranges, bits), key[0].as_py()
         counts = np.bincount(tokens.ids[tokens.train], minlength=len(tokens.words))
-        rows = [{"bucket": bucket, "range": r, "kind": WORDS, "keys": b" ".join([tokens.words[i] for i in own.tolist()]), "counts": _planes(counts[own])} for r, own in tokens.word_blocks()]
+        rows = [{"bucket": bucket, "range": r, "kind": WORDS, "keys": _packed(b" ".join([tokens.words[i] for i in own.tolist()])), "counts": _planes(counts[own])} for r, own in tokens.word_blocks()]
         return pa.Table.from_pylist(rows + _gram_blocks(bucket, tokens, PAIRS, tokens.pairs(), tokens.train), _BLOCK)
 
     return run
@@ -145,7 +155,7 @@ def _sums(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
         return [], np.zeros(0, np.int64)
     counts = [_numbers(r["counts"]) for r in rows]
     if rows[0]["kind"] == WORDS:
-        keys = pa.array([w for r in rows for w in r["keys"].split(b" ")], pa.binary()).dictionary_encode().indices.to_numpy()
+        keys = pa.array([w for r in rows for w in _unpacked(r["keys"]).split(b" ")], pa.binary()).dictionary_encode().indices.to_numpy()
     else:
         keys = np.unique(np.concatenate([np.cumsum(_numbers(r["keys"])) for r in rows]), return_inverse=True)[1]
     totals = np.zeros(int(keys.max()) + 1, dtype=np.int64)
@@ -238,51 +248,56 @@ def votes(n_ranges: int, bits: int):
     return run
 
 
-class Automaton:
-    """The states and arcs that a bucket's documents can reach. State 0 is the root; then one for each word; then one for
-    each context of two words, by its first place."""
+#: Tokens of the documents that one automaton is compiled for, beyond which the next one begins. Bounds memory, not results.
+TOGETHER = 200_000
 
-    def __init__(self, c: Counts):
-        t = c.tokens
+
+class Automaton:
+    """The states and arcs that the documents from token lo to token hi can reach. State 0 is the root; then one for each
+    of their words; then one for each context of two words."""
+
+    def __init__(self, c: Counts, lo: int, hi: int):
+        every, part = c.tokens, slice(lo, hi)
+        names, ids = np.unique(np.append(every.ids[part], 0), return_inverse=True)
+        #: Tokens as numbers of this automaton's words; the end token, 0, is among them.
+        self.ids = ids = ids[:-1]
+        words, full, inner = c.words[names], every.full[part], every.inner[part]
+        pairs, triples, context = c.pairs[part], c.triples[part], c.context[part]
+        last = np.concatenate([[0], ids[:-1]])
         n, _, once = c.model
         weight = lambda order, counts: c.weights[order - 2][_bin(counts)]
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
         unknown = (once + 1) / (n + 2)
-        one = np.where(c.words > 0, (1 - unknown) * c.words / max(n, 1), unknown)
-        size = len(t.words)
-        # Contexts of two words: the token before and the one before that, seen STATE times or more.
-        stated = t.inner & (c.context >= STATE)
+        one = np.where(words > 0, (1 - unknown) * words / max(n, 1), unknown)
+        self.width = size = len(names)
+        # Contexts of two words, STATE times or more: before is where their second word stands.
+        stated = inner & (context >= STATE)
         before = np.flatnonzero(stated) - 1
-        _, place, number = np.unique(t.full[before], return_index=True, return_inverse=True)
-        self.width = size
-        two_state = np.zeros(len(t.ids), dtype=np.int64)
+        _, place, number = np.unique(full[before], return_index=True, return_inverse=True)
+        two_state = np.zeros(len(ids), dtype=np.int64)
         two_state[before] = 1 + size + number
-        #: The state after each token: the longest context that is one. Words never seen in training lead to the root.
-        word_state = np.where(c.words > 0, np.arange(1, size + 1), 0)
-        after = np.where(two_state > 0, two_state, word_state[t.ids])
+        # The longest context that is a state, after each token. Words never seen in training lead to the root.
+        word_state = np.where(words > 0, np.arange(1, size + 1), 0)
+        after = np.where(two_state > 0, two_state, word_state[ids])
         self.start = int(word_state[0])
-        b = weight(2, c.words)
-        a = weight(3, c.pairs[before[place]])
-        safe = lambda x: np.log10(np.maximum(x, 1e-300))
-        self.fail_weight = np.concatenate([[0.0], safe(1 - b), safe(1 - a)]).tolist()
-        self.fail = np.concatenate([[0], np.zeros(size, np.int64), word_state[t.ids[before[place]]]]).tolist()
-        # Arcs of the root, of words, of contexts; each leads where the token's own place says.
-        roots = np.unique(t.ids)
-        two = b[t.last] * c.pairs / np.maximum(c.words[t.last], 1) + (1 - b[t.last]) * one[t.ids]
-        two = np.where(c.words[t.last] > 0, two, one[t.ids])
-        pair_at = np.flatnonzero((c.pairs > 0) & (c.words[t.last] > 0))
-        pair_at = pair_at[np.unique(t.full[pair_at], return_index=True)[1]]
-        triple_at = np.flatnonzero(stated & (c.triples > 0))
-        state = two_state[triple_at - 1]
-        keys = state * size + t.ids[triple_at]
-        keys, which = np.unique(keys, return_index=True)
+        b, a = weight(2, words), weight(3, pairs[before[place]])
+        self.fail_weight = np.concatenate([[0.0], log(1 - b), log(1 - a)]).tolist()
+        self.fail = np.concatenate([[0], np.zeros(size, np.int64), word_state[ids[before[place]]]]).tolist()
+        # Arcs of the root, of words and of contexts, each by one of its places.
+        roots = np.unique(ids)
+        two = np.where(words[last] > 0, b[last] * pairs / np.maximum(words[last], 1) + (1 - b[last]) * one[ids], one[ids])
+        pair_at = np.flatnonzero((pairs > 0) & (words[last] > 0))
+        pair_keys, which = np.unique(word_state[last[pair_at]] * size + ids[pair_at], return_index=True)
+        pair_at = pair_at[which]
+        triple_at = np.flatnonzero(stated & (triples > 0))
+        triple_keys, which = np.unique(two_state[triple_at - 1] * size + ids[triple_at], return_index=True)
         triple_at = triple_at[which]
-        a_at = weight(3, c.context[triple_at])
-        three = a_at * c.triples[triple_at] / c.context[triple_at] + (1 - a_at) * two[triple_at]
-        arcs = np.concatenate([roots, word_state[t.last[pair_at]] * size + t.ids[pair_at], keys])
+        w = weight(3, context[triple_at])
+        three = w * triples[triple_at] / context[triple_at] + (1 - w) * two[triple_at]
+        arcs = np.concatenate([roots, pair_keys, triple_keys])
         self.arcs = dict(zip(arcs.tolist(), range(len(arcs))))
-        self.weights = safe(np.concatenate([one[roots], two[pair_at], three])).tolist()
+        self.weights = log(np.concatenate([one[roots], two[pair_at], three])).tolist()
         self.next = np.concatenate([word_state[roots], after[pair_at], after[triple_at]]).tolist()
-        # A bigram with a state leads there whichever arc the word was read by.
 
     def read(self, ids: list[int]) -> float:
         """The log10 probability of a text: one traversal from left to right."""
@@ -308,8 +323,13 @@ def read(n_ranges: int, bits: int):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         c = Counts(docs, back, n_ranges, bits)
         t, (n, v, _) = c.tokens, c.model
-        automaton, ids, bounds = Automaton(c), t.ids.tolist(), t.bounds.tolist()
-        scores = [automaton.read(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        scores: list[float] = []
+        runs = np.flatnonzero(np.diff(t.bounds[:-1] // TOGETHER, prepend=-1))
+        for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(docs)]):
+            bounds = t.bounds[a : b + 1]
+            automaton = Automaton(c, int(bounds[0]), int(bounds[-1]))
+            ids, at = automaton.ids.tolist(), (bounds - bounds[0]).tolist()
+            scores += [automaton.read(ids[i:j]) for i, j in zip(at, at[1:])]
         total = lambda x: np.add.reduceat(x[t.ids], t.bounds[:-1])
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.array(~docs["train"].to_numpy().astype(bool)), "n_tokens": pa.array(np.diff(t.bounds), pa.int64()), "n_known": pa.array(total((c.words > 0).astype(np.int64)), pa.int64()),
@@ -332,13 +352,14 @@ def score(docs: DataFrame, train: Column, bucket_bytes: int = BUCKET_BYTES) -> D
     by_range = lambda blocks: blocks.repartition(min(n_ranges, n), "range").groupBy("range")
     with_docs = lambda back: dealt.groupBy("bucket").cogroup(back.groupBy("bucket"))
     blocks = dealt.groupBy("bucket").applyInArrow(send(n_ranges, bits), BLOCK)
-    back = by_range(blocks).applyInArrow(give_back, BACK)
+    back = by_range(blocks).applyInArrow(give_back, BACK).repartition(n, "bucket")
     triples = by_range(with_docs(back).applyInArrow(ask(n_ranges, bits), BLOCK)).applyInArrow(give_back, BACK)
     whole = by_range(blocks).applyInArrow(sizes, "n long, v long, once long").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n", "v", "once")])
     # One row for each bucket with the numbers that all need.
     each = F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket")
     model = whole.select(each, F.lit(0).alias("range"), F.lit(MODEL).alias("kind"), F.lit(None).cast("binary").alias("counts"), F.array("n", "v", "once").alias("numbers"))
-    known = back.unionByName(triples).unionByName(model).repartition(n, "bucket")
+    # All three are dealt alike, so their union needs no exchange of its own, and that of back serves twice.
+    known = back.unionByName(triples.repartition(n, "bucket")).unionByName(model.repartition(n, "bucket"))
     cells = with_docs(known).applyInArrow(votes(n_ranges, bits), "order int, bin int, won long, total long").groupBy("order", "bin").agg(((F.sum("won") + 1) / (F.sum("total") + 2)).alias("share"))
     shares = cells.agg(F.map_from_entries(F.collect_list(F.struct((F.col("order") - 2) * BINS + F.col("bin"), "share"))).alias("shares"))
     weights = shares.select(F.array(*[F.coalesce(F.try_element_at("shares", F.lit(i)), F.lit(0.0)) for i in range(2 * BINS)]).alias("weights"))
