@@ -249,7 +249,7 @@ def votes(n_ranges: int, bits: int):
 
 
 #: Tokens of the documents that one automaton is compiled for, beyond which the next one begins. Bounds memory, not results.
-TOGETHER = 200_000
+TOGETHER = 10_000
 
 
 class Automaton:
