@@ -3,7 +3,15 @@
 A document's token ids (and the closing id) are cut into pieces whose lengths are
 powers of two, the largest being the sequence length; each piece is a sequence of
 its own, so no sequence crosses documents and nothing is padded. Equal lengths form
-a bucket, from which a trainer draws batches of one shape.
+a bucket: sequence ids are dealt by bucket, so that those of one length stand together,
+and ``write_buckets`` gives each bucket a folder from which a trainer draws batches of
+one shape.
+
+All ids come from the ``tokenizers`` library and the file it is given. A byte-level
+tokenizer that cuts texts by the usual pattern never joins a character with a single blank
+that follows it, nor a letter with a mark, so texts are taken apart there, and each
+distinct piece is encoded once; with any other tokenizer, and for texts that
+hold an added token's content, whole texts are encoded.
 
 Row by row over the scan: no shuffle. Null text counts as empty and yields the
 closing id alone; null or repeated ids keep one set of pieces for each row; further
@@ -15,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,58 +32,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
-#: Code points beyond those on which both encoders are tested to agree, one by one and in pairs.
-_OTHER = re.compile("[^\\x00-\\u024f]")
-#: Fixed value: how byte-level BPE cuts a text before it merges.
-_CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+from ._arrays import SPACE, text_buffer
 
-def _byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
+#: Encoded pieces that a worker keeps, beyond which it starts anew. Bounds memory, not results.
+KEPT = 800_000
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
+_LETTER = np.array([chr(c).isalpha() and c < 0x80 for c in range(256)])
+_MARK = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
 
 
 class Ids:
-    """Ids (little-endian uint32 bytes) of texts by the tokenizer in a file.
-
-    Where its merges make ids in rising order, as in byte-level BPE files, an encoder that merges by least id gives the
-    same ids several times faster; it takes the texts of Latin letters, the tokenizer itself takes all others.
-    """
+    """Ids (little-endian uint32 bytes) of texts by the tokenizer in a file."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranked = self._ranked(tokenizer_path)
-
-    @staticmethod
-    def _ranked(path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
+        with open(tokenizer_path, encoding="utf-8") as f:
             raw = json.load(f)
-        model, cuts = raw["model"], raw.get("pre_tokenizer") or {}
-        vocab, letters = model.get("vocab"), _byte_letters()
-        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
-        plain = cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True) and not raw.get("normalizer")
-        if not plain or not merged or any(vocab.get(m) != 256 + i for i, m in enumerate(merged)) or sorted(vocab[c] for c in letters) != list(range(256)):
-            return None
-        ranks = {bytes(letters[c] for c in token): vocab[token] for token in [*letters, *merged]}
-        return tiktoken.Encoding("ranked", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
+        cuts = raw.get("pre_tokenizer") or {}
+        self.apart = cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True) and not raw.get("normalizer") and not raw["model"].get("dropout")
+        added = [t["content"] for t in raw.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.kept: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, taken apart before each single blank between two characters that are no white space, and between
+        an ASCII letter and an ASCII mark."""
+        buf, off = text_buffer(pa.array(texts, pa.large_string()))
+        # Other white space than ASCII's is made of bytes from 0x80 on: next to such a byte nothing is taken apart.
+        odd = SPACE[buf] | (buf >= 0x80)
+        blank = buf == 0x20
+        cut = np.zeros(len(buf), dtype=bool)
+        cut[1:-1] = blank[1:-1] & ~odd[:-2] & ~odd[2:]
+        # Nor does the pattern join a letter and a mark that follows it.
+        cut[1:] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
+        cut[off[:-1][off[:-1] < len(buf)]] = True
+        # A document's first piece starts with it, and one of no text has none.
+        starts = np.flatnonzero(cut)
+        if not len(starts):
+            return [b""] * len(texts)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = [x for x in distinct if x not in self.kept]
+        self.kept.update(zip(new, self.whole([x.decode() for x in new])))
+        ids = [self.kept[x] for x in distinct]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        which = pieces.indices.to_numpy()
+        own, flat, at = sizes[which], np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        ends = np.cumsum(own)
+        out = flat[np.repeat(at[which] - (ends - own), own) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[np.searchsorted(starts, off)]
+        return [out[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if self.ranked is None or _OTHER.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = self.ranked.encode_ordinary(text)
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return out
+        if not self.apart:
+            return self.whole(texts)
+        plain = [self.added is None or not self.added.search(t) for t in texts]
+        apart = iter(self._pieces([t for t, p in zip(texts, plain) if p]))
+        whole = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        return [next(apart if p else whole) for p in plain]
 
 
 @cache
@@ -84,6 +108,16 @@ def _ids(tokenizer_path: str) -> Ids:
     return Ids(tokenizer_path)
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE or i + 1 == len(texts):
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
 def piece_lengths(n: int, longest: int) -> list[int]:
     """Powers of two that add up to n, none above longest, in falling order."""
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
@@ -98,10 +132,10 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = 1024, clos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, closing = _ids(tokenizer_path), np.array([closing_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            texts, docs_of = [x or "" for x in batch["text"].to_pylist()], batch["doc_id"].to_pylist()
+            for lo, hi in _slices(texts):
                 rows: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(part["doc_id"].to_pylist(), ids_of.of([x or "" for x in part["text"].to_pylist()])):
+                for doc, ids in zip(docs_of[lo:hi], ids_of.of(texts[lo:hi])):
                     ids += closing
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, sequence_tokens):
@@ -112,4 +146,11 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_tokens: int = 1024, clos
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    # The bucket in the highest bits: all sequences of one length stand together in the order of their ids.
+    number = F.col("bucket").cast("long") * F.lit(1 << 58) + F.monotonically_increasing_id()
+    return pieces.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")})
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Pieces as Parquet with a folder for each bucket: all sequences of a folder have one length, so any of them make a batch."""
+    pieces.write.partitionBy("bucket").parquet(path)

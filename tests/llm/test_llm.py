@@ -276,26 +276,39 @@ def test_reply_trees(spark):
 
 
 def tokenizer():
+    """The contract's call: the library's tokenizer with its defaults."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return path, lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_token_ids():
+def test_token_ids(monkeypatch):
     path, encode = tokenizer()
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "a", "The", "é", ".", ",", ",,", "'s", "'", "12", "\t", "\x85", "　", "<|endoftext|>", "日本", "don't", "\xa0", "_", "́", " \n", "\n ", ".\n", "\r\n", "ß"]
+    parts = [" ", "  ", "\n", "a", "The", "é", ".", ",", ",,", "'s", "'", "12", "\t", "\x85", "　", "<|endoftext|>", "日本", "don't", "\xa0", "_", "́", " \n", "\n ", ".\n", "\r\n", "ß", "\x1c", "\u2028"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(6000)]
     latin = [chr(c) for c in range(0x250)]
     texts += [x for c in latin for x in (c, f"a{c}b", f"1{c} {c}2", f" {c}{c} x{c}")] + ["".join(rng.choices(latin, k=rng.randint(1, 12))) for _ in range(5000)]
     made = packing.Ids(path)
-    assert made.ranked is not None
-    ids = made.of(texts)
-    assert all(np.frombuffer(x, "<u4").tolist() == encode(t) for t, x in zip(texts, ids))
+    assert made.apart
+    want = [encode(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.of(texts)] == want
+    monkeypatch.setattr(packing, "KEPT", 50)
+    assert [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 500) for x in made.of(texts[i : i + 500])] == want
+    made.apart = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.of(texts[:500])] == want[:500] and made.of([]) == []
+
+
+def test_buckets_are_written_apart(spark, docs, tmp_path):
+    path, _ = tokenizer()
+    packing.write_buckets(packing.pack(docs, path), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.where("length <> pow(2, bucket)").count() == 0
+    ids = sorted((r.sequence_id, r.length) for r in packing.pack(docs, path).collect())
+    assert [n for _, n in ids] == sorted(n for _, n in ids)
 
 
 def test_packing(docs, rows):
