@@ -1,15 +1,17 @@
 """Chat formatting over reply trees.
 
-Messages point to the message they answer. Pointer doubling (self-joins that double
-the distance of every pointer) gives each message its path score in log2(depth) joins;
-the leaves of a tree are ranked by that score, and for each chosen leaf the stored
-pointers give its path, again in log2(depth) joins. Each path becomes one formatted
+Messages point to the message of their tree that they answer. Pointer doubling (self-joins
+that double the distance of every pointer) gives each message its path score in log2(depth)
+joins; the leaves of a tree are ranked by that score, and for each chosen leaf the stored
+pointers give its path, again in log2(depth) joins. These joins carry ids and scores only;
+texts are shuffled once, at the end, to be formatted. Each path becomes one formatted
 conversation with the spans of its loss mask.
 
 Defined cases: a message whose parent is null or missing is a root; a message on a
 cycle reaches no root and is left out; null role and text count as empty; equal scores
-go to the longer path, then to the smaller id; repeated ids are the caller's to resolve
-(``linear`` numbers rows, so repeated rows stay as turns); an empty table gives no rows.
+go to the longer path, then to the smaller id; rows of one id are one message, in order of
+text (``linear``: of turn, then role, then text; repeated rows stay); a null tree is a tree
+of no conversation and is left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut_table, n_tasks, text_bytes
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Control strings of this template and of common others: they never stand unescaped inside a text.
 _CONTROL = r"(\|(?:turn|says|end|im_start|im_end|endoftext|system|user|assistant)\|>|/?s>|/?INST\]|/?SYS>>)"
-MESSAGES = ("tree", "id", "parent", "role", "text", "score")
 
 
 def escape(text: Column) -> Column:
@@ -36,60 +37,76 @@ def unescape(text: Column) -> Column:
 
 
 def linear(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as chains: each row answers the one before it by turn (ties: role, text)."""
-    tree = F.to_json(F.struct("conv_id"))
-    n = F.row_number().over(W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
-    rows = turns.select(tree.alias("tree"), "turn", "role", "text").withColumn("n", n)
-    at = lambda k: F.concat_ws("#", "tree", k)
-    return rows.select("tree", at(F.col("n")).alias("id"), F.when(F.col("n") > 1, at(F.col("n") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
-
-
-def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
-    """Rows (tree, path, depth, role, text): the per_tree best root-to-leaf paths of each tree. path: the leaf's id."""
-    nodes = cut(messages.select(*MESSAGES))
-    ids = nodes.select(F.col("id").alias("parent"))
-    known = nodes.join(ids, "parent", "left_semi").select("id", F.col("parent").alias("ptr"))
-    state = nodes.select("tree", "id", "score").join(known, "id", "left").select("tree", "id", "ptr", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("size"))
-    state = cut(state)
-    levels, most = [], max(1, nodes.count()).bit_length() + 1
-    while True:
-        jumps = state.where(F.col("ptr").isNotNull()).select("id", "ptr")
-        if jumps.isEmpty() or len(levels) > most:
-            break
-        levels.append(jumps)
-        up = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("total").alias("more"), F.col("size").alias("others"))
-        # Messages that have reached their root stay as they are; only the others meet what they point to.
-        joined = state.where(F.col("ptr").isNotNull()).join(up, "ptr")
+    """Rows (conv_id, turn, role, text) as chains: each (turn, role) of a conversation answers the one before it; rows
+    with the same turn and role are one message. No text takes part in the ordering, so none is shuffled for it."""
+    tree, own = F.to_json(F.struct("conv_id")), F.to_json(F.struct("turn", "role"))
+    order = W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first())
+    before = F.lag("id").over(order)
+    rows = turns.select(tree.alias("tree"), own.alias("id"), "turn", "role", "text")
+    # Of several rows of one message the first knows which came before it.
+    parent = F.last(F.when(before != F.col("id"), before), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+
+
+def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
+    """Rows (tree, path, id, up): the messages of the per_tree best root-to-leaf paths of each tree of nodes (tree, id,
+    parent, score). path: the leaf's id; up: how far a message is from it. Ids and scores alone are shuffled and kept."""
+    nodes = cut_table(nodes.groupBy("tree", "id").agg(F.max("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score")))
+    ids = nodes.select("tree", F.col("id").alias("parent"))
+    known = nodes.join(ids, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("ptr"))
+    state = nodes.select("tree", "id", "score").join(known, ["tree", "id"], "left").select("tree", "id", "ptr", F.col("score").alias("total"), F.lit(1).cast("long").alias("size"))
+    state = cut_table(state)
+    waiting = lambda rows: rows.where(F.col("ptr").isNotNull())
+    levels, left = [], waiting(state).count()
+    # Every round brings some messages to their root, until those are left that stand on a cycle or lead to one.
+    while left:
+        up = state.select("tree", F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("total").alias("more"), F.col("size").alias("others"))
+        joined = waiting(state).join(up, ["tree", "ptr"])
         moved = joined.select("tree", "id", F.col("next").alias("ptr"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("others")).alias("size"))
-        state = cut(state.where(F.col("ptr").isNull()).unionByName(moved))
-    leaves = state.where(F.col("ptr").isNull()).join(nodes.select(F.col("parent").alias("id")), "id", "left_anti")
+        levels.append(waiting(state).select("tree", "id", "ptr"))
+        state = cut_table(state.where(F.col("ptr").isNull()).unionByName(moved))
+        before, left = left, waiting(state).count()
+        if left == before:
+            break
+    inner = nodes.select("tree", F.col("parent").alias("id"))
+    leaves = state.where(F.col("ptr").isNull()).join(inner, ["tree", "id"], "left_anti")
     place = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), F.desc("size"), "id"))
     chosen = leaves.withColumn("place", place).where(F.col("place") <= per_tree)
-    path = chosen.select("tree", F.col("id").alias("path"), F.col("id").alias("at"), F.lit(0).cast("long").alias("up"))
+    path = chosen.select("tree", F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("up"))
     for k in range(len(levels) - 1, -1, -1):
-        step = path.join(levels[k].withColumnRenamed("id", "at"), "at")
-        path = cut(path.unionByName(step.select("tree", "path", F.col("ptr").alias("at"), (F.col("up") + (1 << k)).alias("up"))))
-    texts = nodes.select(F.col("id").alias("at"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
-    return path.join(texts, "at").select("tree", "path", (-F.col("up")).alias("depth"), "role", "text")
-
-
-def format_paths(paths: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """One row for each path: tree, path, formatted, mask (spans of learn_from's texts in code points, end exclusive)."""
+        step = path.join(levels[k], ["tree", "id"])
+        path = cut_table(path.unionByName(step.select("tree", "path", F.col("ptr").alias("id"), (F.col("up") + (1 << k)).alias("up"))))
+    return path
+
+
+def format_paths(paths: DataFrame, texts: DataFrame, learn_from: str = "assistant") -> DataFrame:
+    """One row for each path: tree, path, formatted, mask (spans of learn_from's texts in code points, end exclusive).
+    texts: tree, id, role, text. Texts are shuffled once, by tree; a task holds a tree's texts on disk, and in memory a
+    path's, which its conversation needs in any case."""
+    n = n_tasks(texts.sparkSession, text_bytes(texts))
+    blank = lambda c, t: F.lit(None).cast(t).alias(c)
+    said = texts.select("tree", "id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")], blank("path", "string"), blank("up", "long")).repartition(n, "tree")
+    asked = paths.select("tree", "id", blank("role", "string"), blank("text", "string"), "path", "up").repartition(n, "tree")
+    # Both are dealt alike, so that neither their union nor what follows within a tree needs a further exchange.
+    on = F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "up"))).over(W.partitionBy("tree", "id"))
+    rows = said.unionByName(asked).withColumn("on", on).where(F.col("text").isNotNull()).select("tree", "role", "text", F.explode("on").alias("on"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))
-    said = escape(F.col("text"))
-    turns = paths.select("tree", "path", "depth", "role", head.alias("head"), said.alias("said")).withColumn("piece", F.concat("head", "said", F.lit(END)))
-    before = W.partitionBy("tree", "path").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.length("head")
-    turns = turns.withColumn("start", start)
+    turns = rows.select("tree", F.col("on.path").alias("path"), (-F.col("on.up")).alias("depth"), "role", "text", head.alias("head"), escape(F.col("text")).alias("said")).withColumn("piece", F.concat("head", "said", F.lit(END)))
+    # Equal depths are rows of one message: they stand in order of text.
+    order = W.partitionBy("tree", "path").orderBy("depth", "text")
+    at = F.row_number().over(order)
+    start = F.coalesce(F.sum(F.length("piece").cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.length("head")
+    turns = turns.select("tree", "path", "role", "said", "piece", at.alias("at"), start.alias("start"))
     span = F.when(F.col("role") == learn_from, F.struct(F.col("start").alias("start"), (F.col("start") + F.length("said")).alias("end")))
-    row = F.struct("depth", "piece", span.alias("span"))
-    rows = turns.groupBy("tree", "path").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    out = turns.groupBy("tree", "path").agg(F.array_sort(F.collect_list(F.struct("at", "piece", span.alias("span")))).alias("rows"))
     spans = F.filter(F.transform("rows", lambda r: r["span"]), lambda s: s.isNotNull())
-    return rows.select("tree", "path", F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"), spans.alias("mask"))
+    return out.select("tree", "path", F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"), spans.alias("mask"))
 
 
 def format_chats(messages: DataFrame, per_tree: int = 1, learn_from: str = "assistant") -> DataFrame:
-    return format_paths(best_paths(messages, per_tree), learn_from)
+    """The best paths of messages (tree, id, parent, role, text, score), formatted."""
+    paths = best_paths(messages.select("tree", "id", "parent", "score"), per_tree)
+    return format_paths(paths, messages.select("tree", "id", "role", "text"), learn_from)
 
 
 def read_back(formatted: Column) -> Column:
