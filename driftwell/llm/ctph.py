@@ -19,13 +19,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._arrays import mix, rolling
-from ._shared import partitions, text_bytes
+from ._shared import cut_table, n_tasks, text_bytes
 
 WINDOW, LEAST_BLOCK, LENGTH, COMMON = 7, 3, 64, 7
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -110,52 +110,74 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (slot, tail, key, doc_id, text) dealt so that within a slot, in order of (tail, key, text), each row stands
-    before the document that follows it by id; the row marked tail belongs to the next slot and only ends this one.
+FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _judged(pairs: list[tuple]) -> list[list]:
+    """Columns of FOUND for (doc_id, text, its fingerprint, the following text, that one's fingerprint)."""
+    new = [edited(text, following) for _, text, _, following, _ in pairs]
+    prints = [fingerprint(x) for x in new]
+    near = likeness([(own, p) for (_, _, own, _, _), p in zip(pairs, prints)]), likeness([(own, following) for _, _, own, _, following in pairs])
+    return [[d for d, *_ in pairs], [len(t) for _, t, *_ in pairs], [hashlib.sha256(x.encode()).hexdigest() for x in new], [own for _, _, own, _, _ in pairs], prints, *[x.tolist() for x in near]]
 
-    Slots are ranges of ids from quantiles; only their bounds and first ids (one number a slot) reach the driver.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_FIRST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(partitions(spark), text_bytes(rows) // (64 << 20))
-    cuts = np.unique(rows.approxQuantile("key", [i / (4 * n) for i in range(1, 4 * n)], 0.02 / n) or [0.0])
 
-    @F.pandas_udf("int")
-    def slot_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(dtype=np.float64), side="right").astype(np.int32))
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
-    firsts = sorted((r.slot, r.key) for r in rows.select("key").withColumn("slot", slot_of("key")).groupBy("slot").agg(F.min("key").alias("key")).collect())
-    if not firsts:
-        return rows.withColumns({"slot": F.lit(0), "tail": F.lit(False)})
-    ends = [(slot, firsts[(i + 1) % len(firsts)][1]) for i, (slot, _) in enumerate(firsts)]
-    ends_df = spark.createDataFrame(ends, "slot int, key long")
-    heads = rows.where(F.col("key").isin([k for _, k in firsts])) if len(firsts) <= 2000 else rows.join(F.broadcast(ends_df.select("key")), "key", "left_semi")
-    heads = heads.groupBy("key").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-    tails = heads.join(ends_df, "key").select("slot", F.lit(True).alias("tail"), "key", "doc_id", "text")
-    own = rows.select(slot_of("key").alias("slot"), F.lit(False).alias("tail"), "key", "doc_id", "text")
-    return own.unionByName(tails).repartition(n, "slot").sortWithinPartitions("slot", "tail", "key", "text")
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            yield batch.slice(at, 1000)
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Rows are dealt over ranges of ids (equal ids: of the beginnings of their texts), each in order in one task, which
+    sees every row beside the next one but for its last. Each range's first and last texts are kept, and the last of each
+    meets the first of the next range that has rows. Ranges come from Spark's bounded sample of ids.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_FIRST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ranged = rows.repartitionByRange(n_tasks(spark, text_bytes(rows)), "key", F.substring("text", 1, 64)).sortWithinPartitions("key", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part, rows = batch.slice(at, 1000), []
-                for slot, tail, doc, text in zip(*[part[c].to_pylist() for c in ("slot", "tail", "doc_id", "text")]):
-                    own = fingerprint(text)
-                    if last is not None and last[0] == slot and not last[1]:
-                        new = edited(last[3], text)
-                        rows.append((last[2], len(last[3]), hashlib.sha256(new.encode()).hexdigest(), last[4], fingerprint(new), own))
-                    last = (slot, tail, doc, text, own)
-                near = likeness([(r[3], r[4]) for r in rows]), likeness([(r[3], r[5]) for r in rows])
-                columns = [*[[r[i] for r in rows] for i in range(5)], *near]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+
+        def out(found: list[list], edges: list[tuple[bool, int | None, str]]) -> pa.RecordBatch:
+            n, m = len(found[0]), len(edges)
+            columns = [pa.array([*c, *([None] * m)], t) for c, t in zip(found, _TYPES)]
+            columns[0] = pa.array([*found[0], *[d for _, d, _ in edges]], pa.int64())
+            columns += [pa.array([part] * (n + m), pa.int32()), pa.array([None] * n + [is_last for is_last, _, _ in edges], pa.bool_()), pa.array([None] * n + [t for _, _, t in edges], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "part", "is_last", "text"])
+
+        for batch in _slices(batches):
+            pairs, first = [], last is None
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                own = fingerprint(text)
+                if last is not None:
+                    pairs.append((*last, text, own))
+                last = (doc, text, own)
+            if len(batch):
+                yield out(_judged(pairs), [(False, None, batch["text"][0].as_py())] if first else [])
+        if last is not None:
+            yield out([[] for _ in _TYPES], [(True, last[0], last[1])])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["following"].to_pylist())
+            found = _judged([(d, t, fingerprint(t), x, fingerprint(x)) for d, t, x in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, _TYPES)], names=list(_NAMES))
+
+    done = cut_table(ranged.mapInArrow(run, f"{FOUND}, part int, is_last boolean, text string"))
+    edges = done.where(F.col("is_last").isNotNull())
+    # One small number a range: each range's successor, the first one's for the last.
+    parts = edges.where(~F.col("is_last")).select("part")
+    after = parts.select("part", F.lead("part").over(W.orderBy("part")).alias("next")).crossJoin(F.broadcast(parts.agg(F.min("part").alias("least"))))
+    after = after.select("part", F.coalesce("next", "least").alias("next"))
+    firsts = edges.where(~F.col("is_last")).select(F.col("part").alias("next"), F.col("text").alias("following"))
+    lasts = edges.where("is_last").select("doc_id", "part", "text").join(after, "part").join(firsts, "next")
+    return done.where(F.col("is_last").isNull()).select(*_NAMES).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(meet, FOUND))

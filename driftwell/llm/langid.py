@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PROFILE, TOP = 400, 300
+#: Languages that profiles are kept for; more labels than that are an error, since all profiles go to every task.
+LANGUAGES = 5000
 _BITS, _SPACE = np.uint64(21), 0x20
 #: Characters of one language that a task gathers before it counts their n-grams. Bounds memory, not results.
 GATHER = 1 << 20
@@ -89,8 +91,11 @@ def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
     counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     sums = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = sums.withColumn("rank", rank - 1).where(F.col("rank") < size)
-    return [(r.lang, r.gram, r.rank) for r in top.collect()]
+    # Ranks up to a constant: each task keeps its first n-grams before they meet in one task a language.
+    top = sums.withColumn("rank", rank).where(F.col("rank") <= size).limit(size * LANGUAGES + 1).collect()
+    if len(top) > size * LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    return [(r.lang, r.gram, r.rank - 1) for r in top]
 
 
 def _judge(profiles: list[tuple[str, int, int]], size: int, top: int):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ctph, decontamination, extraction, langid, packing, repeats, scoring, secrets, simhash
+from ._shared import ensure_checkpoint_dir
 from .oracles import ORACLE_SQL  # noqa: F401  SQL for DuckDB with the same rows, where SQL can express a query
 
 
@@ -59,7 +62,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    # A ledger of this run's own, empty at first: every blob is scanned into it, and all findings are read from it.
+    ledger = secrets.Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledgers/{uuid.uuid4().hex}")
+    found = ledger.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     names = [r.kind for r in secrets.RULES]
     text = secrets.spans_text(F.col("spans"))

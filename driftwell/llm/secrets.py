@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import whole_row
+from ._shared import cut_table, join_hot, whole_row
 
 
 @dataclass(frozen=True)
@@ -65,22 +65,51 @@ def find(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.flatten(F.array(*[_spans(text, r, i) for i, r in enumerate(rules)])))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings of every row: doc_id, blob, spans; new rows for the ledger: blob, version, spans)."""
-    paths = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    at = F.xxhash64("doc_id")
-    first = paths.groupBy("blob").agg(F.min(at).alias("at"))
+LEDGER = f"blob string, version string, spans {SPAN}"
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """The paths of a version: doc_id and blob (the text's address) for each row of docs, kept as a narrow table."""
+    return cut_table(docs.select(F.col("doc_id").alias("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")))
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """Rows for the ledger (blob, version, spans): each distinct text of docs whose pair with version the ledger lacks, scanned once."""
+    paths = docs.select(F.xxhash64("doc_id").alias("at"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    first = paths.groupBy("blob").agg(F.min("at").alias("at"))
     if ledger is not None:
-        known = ledger.where(F.col("version") == version).select("blob", "spans")
-        first = first.join(known.select("blob"), "blob", "left_anti")
+        first = first.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     # The first row of each new blob carries its text; the small side is hashed, so texts are never sorted.
-    texts = paths.withColumn("at", at).join(first.hint("shuffle_hash"), ["blob", "at"], "left_semi")
+    texts = paths.join(first.hint("shuffle_hash"), ["blob", "at"], "left_semi")
     scanned = texts.select("blob", find(F.col("text"), rules).alias("spans")).groupBy("blob").agg(F.max("spans").alias("spans"))
-    new = scanned.select("blob", F.lit(version).alias("version"), "spans")
-    every = scanned if ledger is None else scanned.unionByName(known)
-    hits = every.where(F.size("spans") > 0)
-    found = paths.select("doc_id", "blob").join(hits, "blob", "left")
-    return found.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN))), new
+    return scanned.select("blob", F.lit(version).alias("version"), "spans")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(findings of every row: doc_id, blob, spans; new rows for the ledger: blob, version, spans). The new rows are
+    written before they are used: what a run has scanned, it reads back from its ledger."""
+    new = cut_table(unseen(docs, ledger, rules, version))
+    every = new if ledger is None else new.unionByName(ledger.where(F.col("version") == version).select("blob", "version", "spans"))
+    hits = every.where(F.size("spans") > 0).select("blob", "spans")
+    found = join_hot(addressed(docs), hits, "blob", "left")
+    return found.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), new
+
+
+class Ledger:
+    """A ledger kept as a table in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+        """Findings of every row of docs; what had to be scanned for them is added to the ledger."""
+        found, new = scan(docs, self.rows(), rules, version)
+        new.write.mode("append").parquet(self.path)
+        return found
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

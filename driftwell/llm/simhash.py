@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays
-from ._shared import cut, whole_row
+from ._shared import cut, join_hot, whole_row
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Offset and width of each segment.
@@ -241,7 +241,8 @@ def classes(docs: DataFrame, near: bool = False) -> DataFrame:
     own = cut(own)
     ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = own.select("fp", "component").join(ids, "component")
-    return prints.join(by_print, "fp").select("doc_id", "at", "fp", "component", "component_id")
+    # A fingerprint may belong to a large part of all rows.
+    return join_hot(prints, by_print, "fp").select("doc_id", "at", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, near: bool = False) -> DataFrame:

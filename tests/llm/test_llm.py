@@ -154,6 +154,38 @@ def test_language(docs, rows):
         assert counts == sorted(grams[lang].values(), reverse=True)[: len(mine)]
 
 
+def plain_grams(text):
+    """1- to 3-grams by the definition, most frequent first; ties by the n-gram's code points, each in 21 bits."""
+    n = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        p = f" {w} "
+        n.update(p[i : i + k] for k in (1, 2, 3) for i in range(len(p) - k + 1) if k > 1 or p[i] != " ")
+    number = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], number(x[0])))]
+
+
+def test_language_predictions(docs, rows):
+    train = collections.defaultdict(list)
+    for d, t, lang in rows:
+        if d is not None and lang and t is not None and zlib.crc32(str(d).encode()) % 5:
+            train[lang].append(t)
+    profiles = {lang: {g: i for i, g in enumerate(plain_grams("\n".join(ts))[:400])} for lang, ts in train.items()}
+    want = []
+    for d, t, _ in rows:
+        best = plain_grams(t)[:300]
+        far = sorted((sum(min(abs(i - p[g]), 400) if g in p else 400 for i, g in enumerate(best)), lang) for lang, p in profiles.items())
+        want.append((str(d), far[0][1], round((far[1][0] - far[0][0]) / far[1][0], 9)) if best else (str(d), "und", 0.0))
+    got = langid.predict(docs, langid.learn(docs.where(~langid.held_out(5)))).collect()
+    assert multiset((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in got) == multiset(want)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    df = spark.createDataFrame([("x " * 500 + "".join(chr(97 + (i * 7 + j) % 26) for j in range(900)), f"l{i}") for i in range(9)], "text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn(df, 3)
+
+
 def test_language_edges(spark, docs):
     assert langid.learn(docs.limit(0)) == []
     assert {r.lang_pred for r in langid.predict(docs, []).collect()} == {"und"}
@@ -369,6 +401,23 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan(both, ledger, version="other")[1].count() == 3
 
 
+def test_a_stored_ledger_over_two_versions(spark, docs, rows, tmp_path):
+    """The second version scans its new texts only; all findings are those of plain scans, whatever was scanned when."""
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.scan(docs)
+    first = ledger.rows().count()
+    assert first == len({t or "" for _, t, _ in rows})
+    second = [(d, f"{t} password=abcdefgh1" if i % 3 == 0 else t) for i, (d, t, _) in enumerate(rows)] + [(None, rows[0][1])] * 50
+    found = ledger.scan(spark.createDataFrame(second, "doc_id long, text string"))
+    got = multiset((r.doc_id, r.s) for r in found.select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect())
+    assert got == multiset((d, plain_spans(t)) for d, t in second)
+    assert ledger.rows().count() - first == len({t or "" for _, t in second} - {t or "" for _, t, _ in rows})
+    assert ledger.rows().groupBy("blob", "version").count().where("count > 1").count() == 0
+    before = ledger.rows().count()
+    ledger.scan(docs, version="later")
+    assert ledger.rows().count() == before + first
+
+
 def test_redact(spark):
     texts = [*secret_texts()[:200], None, "no secret"]
     df = spark.createDataFrame([(i, t, len(t or ""), 7) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, blob int")
@@ -630,15 +679,62 @@ def test_edit_distances():
     assert ctph.edit_distances(*map(list, zip(*pairs))).tolist() == [plain_distance(a, b) for a, b in pairs]
 
 
-def test_fuzzy_hash(docs, rows):
+def plain_mix(x):
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+        x = (x ^ x >> 33) * k % 2**64
+    return x
+
+
+def plain_ctph(text):
+    """The fingerprint byte by byte: a rolling polynomial over seven bytes, a piece's letter from the sum of its rolls."""
+    q, data = 0xD6E8FEB86659FD93, [plain_mix(b + 1) for b in text.encode()]
+    if not data:
+        return "3::"
+    rolls = [plain_mix(sum(data[i - j] * pow(q, j, 2**64) for j in range(7) if i >= j) % 2**64) for i in range(len(data))]
+
+    def signature(block, most):
+        out, held, n = "", 0, 0
+        for i, r in enumerate(rolls):
+            held, n = (held + r) % 2**64, n + 1
+            if (r >> 32) % block == block - 1 and len(out) < most - 1:
+                out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[held >> 7 & 63]
+                held = n = 0
+        return out + ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[held >> 7 & 63] if n else "")
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(signature(block, 64)) < 32:
+        block //= 2
+    return f"{block}:{signature(block, 64)}:{signature(2 * block, 32)}"
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    (bx, *xs), (by, *ys) = x.split(":"), y.split(":")
+    best = 0.0
+    for i in (0, 1):
+        for j in (0, 1):
+            a, b = xs[i], ys[j]
+            k = min(7, len(a), len(b))
+            if int(bx) << i == int(by) << j and k and any(a[p : p + k] in b for p in range(len(a) - k + 1)):
+                best = max(best, 1 - plain_distance(a, b) / max(len(a), len(b)))
+    return best
+
+
+@pytest.mark.parametrize("partitions", [8, 40])
+def test_fuzzy_hash(spark, docs, rows, monkeypatch, partitions):
+    monkeypatch.setattr(ctph, "n_tasks", lambda *_: partitions)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []
     for i, (d, t, _) in enumerate(order):
         t, following = t or "", order[(i + 1) % len(order)][1] or ""
-        new = ctph.edited(t, following)
-        near = ctph.likeness([(ctph.fingerprint(t), ctph.fingerprint(new)), (ctph.fingerprint(t), ctph.fingerprint(following))])
-        want.append((d, len(t), SHA(new), ctph.fingerprint(t), ctph.fingerprint(new), *near.tolist()))
-    assert multiset(tuple(r) for r in ctph.compare(docs).collect()) == multiset(want)
+        cut = len(t) - len(t) // 4
+        new = t[:cut] + following[: len(t) // 4]
+        own, other, after = map(plain_ctph, (t, new, following))
+        want.append((d, len(t), SHA(new), own, other, round(plain_likeness(own, other), 9), round(plain_likeness(own, after), 9)))
+    assert multiset((*r[:5], round(r[5], 9), round(r[6], 9)) for r in ctph.compare(docs).collect()) == multiset(want)
     assert ctph.compare(docs.limit(0)).count() == 0
     one = docs.where("doc_id = 204")
     assert ctph.compare(one).first().near_next == 1.0
