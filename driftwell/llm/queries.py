@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ctph, decontamination, extraction, langid, packing, repeats, scoring, secrets, simhash
-from ._shared import ensure_checkpoint_dir
+from ._shared import ensure_checkpoint_dir, spread
 from .oracles import ORACLE_SQL  # noqa: F401  SQL for DuckDB with the same rows, where SQL can express a query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
