@@ -45,7 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table that lies in fewer files than there are cores, dealt over the cores; any other as it is. Without it
     one task would read all of a file with one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < 256 << 20 and len(df.inputFiles()) < cores else df
 
 
