@@ -37,9 +37,10 @@ POINT, COMMA, SIGN, JOIN = "\ue003", "\ue004", "\ue005", "\ue006"
 #: Units that may follow a number.
 UNITS = ("km", "kg", "cm", "mm", "m", "g", "mg", "lb", "lbs", "oz", "ft", "in", "mi", "mph", "s", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "years", "meters", "metres", "miles", "feet", "inches", "liters", "litres", "l", "ml", "usd", "eur", "dollars", "euros", "cents", "percent", "kw", "w", "v", "a", "hz", "mb", "gb")
 _TOKEN = r"\p{L}\p{M}\p{N}" + NAME + NUMBER + UNIT + POINT + COMMA + SIGN + JOIN
-_SPLIT = f"[^{_TOKEN}]+"
 _UNIT = "(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
 _LITERAL = rf"{SIGN}?\p{{Nd}}+(?:[{POINT}{COMMA}]\p{{Nd}}+)*"
+# A look at the first character comes before looks back, so that most places cost one test.
+_DIGIT = rf"(?=[{SIGN}\p{{Nd}}])(?<![{_TOKEN}])"
 _OPEN = "[\"'(\\[\u00ab\u2018\u201a\u201c\u201e]"
 _CAPITAL = r"\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 
@@ -53,7 +54,7 @@ def _whole(rows: DataFrame, names: bool) -> DataFrame:
     """rows with text (null: empty) in which each number is one token, a blank stands before a unit written onto a number,
     and, for names, names of two or three words are one token."""
     text = F.col("clear")
-    for pattern, by in ((r"(?<=\p{Nd})\.(?=\p{Nd})", POINT), (r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", COMMA), (rf"(?<![{_TOKEN})\]])[-\u2212](?=\p{{Nd}})", SIGN), (rf"(?<![{_TOKEN}])({_LITERAL})(?={_UNIT}(?![{_TOKEN}]))", "$1 ")):
+    for pattern, by in ((r"\.(?<=\p{Nd}.)(?=\p{Nd})", POINT), (r",(?<=\p{Nd}.)(?=\p{Nd}{3}(?!\p{Nd}))", COMMA), (rf"[-\u2212](?<![{_TOKEN})\]].)(?=\p{{Nd}})", SIGN), (rf"{_DIGIT}({_LITERAL})(?={_UNIT}(?![{_TOKEN}]))", "$1 ")):
         text = F.regexp_replace(text, pattern, by)
     rows = rows.withColumn("clear", F.coalesce("text", F.lit(""))).drop("text")
     rows = _with(rows, **{"text" if not names else "numbers": F.when(F.col("clear").rlike(r"\p{Nd}"), text).otherwise(F.col("clear"))}).drop("clear")
@@ -61,30 +62,29 @@ def _whole(rows: DataFrame, names: bool) -> DataFrame:
         return rows
     word = rf"(?<![{_TOKEN}]){_CAPITAL}(?![{_TOKEN}])"
     # Runs of exactly two or three; longer ones are titles, and each of their words stands for itself.
-    run = rf"(?<!\p{{Lu}}[\p{{L}}\p{{M}}]{{1,30}}\s)({word})\s({word})(?:\s({word}))?(?!\s{_CAPITAL}(?![{_TOKEN}]))"
+    run = rf"(?=\p{{Lu}}\p{{Ll}})(?<!\p{{Lu}}[\p{{L}}\p{{M}}]{{1,30}}\s)({word})\s({word})(?:\s({word}))?(?!\s{_CAPITAL}(?![{_TOKEN}]))"
     joined = F.regexp_replace(F.regexp_replace("numbers", run, f"$1{JOIN}$2{JOIN}$3"), rf"{JOIN}(?![{_TOKEN}])", "")
     return _with(rows, text=F.when(F.col("numbers").rlike(rf"{_CAPITAL}\s\p{{Lu}}"), joined).otherwise(F.col("numbers"))).drop("numbers")
 
 
 def _template(text: Column, names: bool = True) -> Column:
     capital = rf"\p{{Lu}}\p{{Ll}}[{_TOKEN}]*"
-    within = rf"(?:(?<=[\p{{Ll}}\p{{Nd}},;:/\p{{Pd}}]\s{_OPEN}?)|(?<={_OPEN}|[/\p{{Pd}}])){capital}"
-    named = F.regexp_replace(F.regexp_replace(text, rf"{_CAPITAL}{JOIN}[{_TOKEN}]*", NAME), within, NAME) if names else text
-    numbers = F.regexp_replace(named, rf"(?<![{_TOKEN}]){_LITERAL}(?![{_TOKEN}])", NUMBER)
-    units = F.regexp_replace(numbers, rf"(?<={NUMBER}\s){_UNIT}(?![{_TOKEN}])", UNIT)
+    within = rf"(?=\p{{Lu}}\p{{Ll}})(?:(?<=[\p{{Ll}}\p{{Nd}},;:/\p{{Pd}}]\s{_OPEN}?)|(?<={_OPEN}|[/\p{{Pd}}])){capital}"
+    # A joined name, with what its capital letter needs no look back for, or a capital where a name can stand.
+    named = F.regexp_replace(text, rf"(?=\p{{Lu}}\p{{Ll}})(?:{_CAPITAL}{JOIN}[{_TOKEN}]*|{within})", NAME) if names else text
+    numbers = F.regexp_replace(named, rf"{_DIGIT}{_LITERAL}(?![{_TOKEN}])", NUMBER)
+    units = F.regexp_replace(numbers, rf"({NUMBER}\s){_UNIT}(?![{_TOKEN}])", f"$1{UNIT}")
     return F.lower(F.when(text.rlike(r"\p{Nd}"), units).otherwise(named))
 
 
 def _tokens(text: Column) -> Column:
-    parts = F.split(text, _SPLIT, -1)
-    head = F.when(F.get(parts, F.lit(0)) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    return F.when((F.size(head) > 0) & (F.get(head, F.size(head) - 1) == ""), F.slice(head, 1, F.size(head) - 1)).otherwise(head)
+    return F.array_remove(F.split(text, f"[^{_TOKEN}]+", -1), "")
 
 
 def templates(rows: DataFrame, *keep: str, names: bool = True) -> DataFrame:
-    """keep, raw (tokens as written), tokens (template tokens) and plain (the same with names as they are), in the same places.
+    """keep, raw (tokens as written, lower-cased), tokens (template tokens) and plain (the same with names as they are), in the same places.
     names: whether names of several words are one token."""
-    return _whole(rows.select(*keep, "text"), names).select(*keep, _tokens(F.col("text")).alias("raw"), _tokens(_template(F.col("text"))).alias("tokens"), _tokens(_template(F.col("text"), False)).alias("plain"))
+    return _whole(rows.select(*keep, "text"), names).select(*keep, _tokens(F.lower("text")).alias("raw"), _tokens(_template(F.col("text"))).alias("tokens"), _tokens(_template(F.col("text"), False)).alias("plain"))
 
 
 def _windows(tokens: Column) -> Column:
@@ -111,8 +111,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks(docs: DataFrame, benchmark: DataFrame, names: bool) -> DataFrame:
     at = F.xxhash64("text").alias("at")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at, "text")
-    lowered = lambda raw: F.transform(raw, lambda t: F.lower(t))
-    items = templates(benchmark, "item_id", names=names).withColumns({"item_raw": lowered(F.col("raw")), "item_tokens": F.col("tokens")}).drop("raw", "tokens")
+    items = templates(benchmark, "item_id", names=names).withColumnsRenamed({"raw": "item_raw", "tokens": "item_tokens"})
     # A text in one case shows no names: items are looked for in both forms. As written, all windows count as they are.
     form = lambda c: items.select("item_id", F.col(c).alias("form")).select("item_id", "form", F.posexplode(_windows(F.col("form"))).alias("ipos", "h"))
     windows = form("item_tokens").unionByName(form("plain")).withColumn("n_literal", _literals(F.col("form"), F.col("ipos"))).drop("form")
@@ -125,10 +124,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, names: bool) -> DataFrame:
     items = items.drop("plain")
     few = own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     small = F.broadcast if few else (lambda df: df)
-    # The windows are made within the generator: elsewhere the tokens would be cut out again for each of them.
-    read = templates(rows, "doc_id", "at", names=names).select("doc_id", "at", "tokens", lowered(F.col("raw")).alias("raw"))
-    placed = read.select("doc_id", "at", F.posexplode(F.arrays_zip(_windows(F.col("tokens")), _windows(F.col("raw")))).alias("dpos", "x"))
-    found = placed.select("doc_id", "at", "dpos", F.explode(F.array_distinct(F.array(F.col("x")["0"], F.col("x")["1"]))).alias("h"))
+    # Windows as written are added only where they differ from those of the template, around a placeholder.
+    read = _with(templates(rows, "doc_id", "at", names=names).drop("plain").where(F.size("tokens") >= WINDOW), last=F.size("tokens") - WINDOW)
+    other = F.array_compact(F.transform(F.zip_with("tokens", "raw", lambda a, b: a != b), lambda differs, j: F.when(differs, j)))
+    read = _with(read, other=other)
+    around = F.array_distinct(F.flatten(F.transform("other", lambda j: F.sequence(F.greatest(j - (WINDOW - 1), F.lit(0)), F.least(j, F.col("last"))))))
+    window = lambda tokens, i: F.struct(i.alias("dpos"), F.xxhash64(*[F.get(tokens, i + j) for j in range(WINDOW)]).alias("h"))
+    placed = F.concat(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: window(F.col("tokens"), i)), F.transform(around, lambda i: window(F.col("raw"), i)))
+    found = read.select("doc_id", "at", F.inline(placed))
     met = found.join(small(own), "h").select("doc_id", "at", "item_id", "ipos", "dpos")
     enough = lambda n: (n >= F.col("n_windows") * SHARE) | (n >= PASSAGE)
     pairs = met.groupBy("doc_id", "at", "item_id").agg(F.collect_set(F.struct("ipos", "dpos")).alias("met"))
@@ -142,7 +145,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, names: bool) -> DataFrame:
     lines = F.array_distinct(F.transform("met", lambda p: p["dpos"] - p["ipos"])).alias("lines")
     pairs = pairs.select("doc_id", "null_id", "at", "item_id", "n_windows", lines)
     with_text = keyed.join(pairs.hint("shuffle_hash"), ["doc_id", "null_id", "at"]).join(small(items), "item_id")
-    read = _whole(with_text, names).withColumns({"raw": lowered(_tokens(F.col("text"))), "tokens": _tokens(_template(F.col("text")))}).drop("text")
+    read = _whole(with_text, names).withColumns({"raw": _tokens(F.lower("text")), "tokens": _tokens(_template(F.col("text")))}).drop("text")
     # Of each alignment the document's tokens beside the item's are cut out before the rows are multiplied.
     read = _with(read, strips=F.transform("lines", lambda k: F.struct(
         k.alias("line"),
