@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, load_config
-from .plans.windows import compare, window_stats
+from .plans.windows import compare, nested, window_stats
 from .sources.sensors import read_reported_stats, read_sensor_json, synthetic, write_sensor_json
 from .sources.sinks import build_sinks, export
 
@@ -22,7 +22,7 @@ def compare_run(spark: SparkSession, run_dir: str, cfg: Config) -> DataFrame:
     """The comparison of a run's stream with its reported statistics, also written to results/compare.jsonl."""
     records = read_sensor_json(spark, f"{run_dir}/data/stream.jsonl")
     report = compare(records, read_reported_stats(spark, f"{run_dir}/results/stats.jsonl"), cfg)
-    report.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{run_dir}/results/compare.jsonl")
+    nested(report).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{run_dir}/results/compare.jsonl")
     return report
 
 

@@ -41,11 +41,11 @@ class Config:
     bootstrap_seed: int = 2024
     min_ci_lower: float = 0.05
     min_p_hat: float = 0.08
-    min_evidence: float = 0.45
-    min_heavy: int = 1
-    min_devices: int = 5
+    min_evidence_score: float = 0.45
+    min_heavy_buckets: int = 1
+    min_hll_estimate: int = 5
     min_cms_total: int = 200
-    min_sample: int = 30
+    min_sample_size_for_alert: int = 30
     severities: tuple[tuple[str, float], ...] = (("critical", 0.75), ("high", 0.60), ("medium", 0.45))
     cooldown_seconds: int = 300
     strict_gates: bool = False
@@ -99,7 +99,17 @@ def from_dict(raw: dict[str, Any]) -> Config:
     take("estimation", "heavy_ratio_threshold", "heavy_ratio")
     take("estimation", "n_bootstrap", "bootstrap_replicates", int)
     take("estimation", "min_samples_for_bootstrap", "bootstrap_min_n", int)
-    take("alerts", "cooldown_seconds", "cooldown_seconds", int)
+    take("estimation", "rng_seed", "bootstrap_seed", int)
+    bits = (raw.get("stable_bloom") or {}).get("counter_bits")
+    if bits is not None:
+        out["bloom_max"] = (1 << int(bits)) - 1
+    for key in ("min_cms_total", "min_sample_size_for_alert", "min_heavy_buckets", "min_hll_estimate", "cooldown_seconds"):
+        take("alerts", key, key, int)
+    for key in ("min_ci_lower", "min_p_hat", "min_evidence_score"):
+        take("alerts", key, key)
+    given = (raw.get("alerts") or {}).get("severity_thresholds")
+    if given is not None:
+        out["severities"] = tuple((name, float(given.get(name, least))) for name, least in Config().severities)
     if (raw.get("reporting") or {}).get("sinks"):
         out["sinks"] = tuple(raw["reporting"]["sinks"])
     if (raw.get("output") or {}).get("base_dir"):

@@ -29,9 +29,9 @@ def reason(cfg: Config) -> Column:
     parts = [
         over("CI下界 ", "ci_low", cfg.min_ci_lower),
         over("比例 p̂=", "p_hat", cfg.min_p_hat),
-        F.when(F.col("n_heavy") >= cfg.min_heavy, F.concat(F.lit("重频桶 "), F.col("n_heavy"), F.lit(" 个"))),
-        F.when(F.col("hll_estimate") >= cfg.min_devices, F.concat(F.lit("HLL异常设备数 "), F.col("hll_estimate"), F.lit(f"≥{cfg.min_devices}"))),
-        over("综合分数 ", "evidence_score", cfg.min_evidence),
+        F.when(F.col("n_heavy") >= cfg.min_heavy_buckets, F.concat(F.lit("重频桶 "), F.col("n_heavy"), F.lit(" 个"))),
+        F.when(F.col("hll_estimate") >= cfg.min_hll_estimate, F.concat(F.lit("HLL异常设备数 "), F.col("hll_estimate"), F.lit(f"≥{cfg.min_hll_estimate}"))),
+        over("综合分数 ", "evidence_score", cfg.min_evidence_score),
     ]
     joined = F.concat_ws("；", *parts)
     return F.when(joined == "", "综合规则触发").otherwise(joined)
@@ -40,13 +40,22 @@ def reason(cfg: Config) -> Column:
 def candidates(stats: DataFrame, cfg: Config) -> DataFrame:
     """Rows of stats that reach the alert line: severity, reason and n_heavy are added. Cooldown comes after."""
     rows = stats.withColumn("n_heavy", F.size("heavy_buckets"))
-    hit = (F.col("ci_low") >= cfg.min_ci_lower) | ((F.col("p_hat") >= cfg.min_p_hat) & (F.col("n_heavy") >= cfg.min_heavy))
-    hit = hit | ((F.col("evidence_score") >= cfg.min_evidence) & (F.col("hll_estimate") >= cfg.min_devices))
+    hit = (F.col("ci_low") >= cfg.min_ci_lower) | ((F.col("p_hat") >= cfg.min_p_hat) & (F.col("n_heavy") >= cfg.min_heavy_buckets))
+    hit = hit | ((F.col("evidence_score") >= cfg.min_evidence_score) & (F.col("hll_estimate") >= cfg.min_hll_estimate))
     if cfg.strict_gates:
-        hit = hit & (F.col("cms_total") >= cfg.min_cms_total) & (F.col("sample_size") >= cfg.min_sample)
+        hit = hit & (F.col("cms_total") >= cfg.min_cms_total) & (F.col("sample_size") >= cfg.min_sample_size_for_alert)
     return rows.withColumns({"severity": severity(F.col("evidence_score"), cfg), "reason": reason(cfg)}).where(hit & F.col("severity").isNotNull())
 
 
+def after_cooldown(rows: DataFrame, cfg: Config, now: float, last: DataFrame | None = None) -> DataFrame:
+    """rows whose region last had an alert (last: region, timestamp; none: never) cooldown_seconds before now or earlier."""
+    if last is None:
+        return rows.where(F.lit(float(now)) >= cfg.cooldown_seconds)
+    latest = last.groupBy("region").agg(F.max("timestamp").cast("double").alias("_last"))
+    known = rows.join(latest, "region", "left")
+    return known.where(F.lit(float(now)) - F.coalesce("_last", F.lit(0.0)) >= cfg.cooldown_seconds).drop("_last")
+
+
 def cooled(alerts: DataFrame, cfg: Config, ts: str = "ts_seconds") -> DataFrame:
     """Alerts that come at least cooldown_seconds after the last one *emitted* for their region (in order of ts).
 

@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import Config
 from ..functions.hashing import gaussian_value
 
-WRITTEN_OUT = 8
-
-
 def planes(cfg: Config, dim: int) -> list[list[list[float]]]:
-    """Normal vectors by table and bit: literals, as many as tables, bits and dimensions."""
+    """Normal vectors by table and bit: as many numbers as tables, bits and dimensions."""
     return [[[gaussian_value(cfg.lsh_seed, t, b, d) for d in range(dim)] for b in range(cfg.lsh_bits)] for t in range(cfg.lsh_tables)]
 
 
-def signature(vector: Column, table: list[list[float]]) -> Column:
-    """One bit for each plane, 1 where the product is not negative. Few dimensions are written out, so that they compile
-    to straight code; many would make methods too large to compile, and are folded."""
-    if len(table[0]) <= WRITTEN_OUT:
-        dims = [F.get(vector, F.lit(d)).cast("double") for d in range(len(table[0]))]
-        dot = lambda plane: reduce(lambda a, b: a + b, [x * F.lit(p) for x, p in zip(dims, plane)])
-    else:
-        dot = lambda plane: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, plane)), lambda x, p: x.cast("double") * p), F.lit(0.0), lambda a, b: a + b)
-    return F.concat(*[F.when(dot(p) >= 0, "1").otherwise("0") for p in table])
+def signature_of(cfg: Config, dim: int):
+    """An Arrow function of vectors to their signatures, one for each table: a matrix product for each batch. One bit for
+    each plane, 1 where the product is not negative; a null component makes all bits 0."""
+    normals = np.array(planes(cfg, dim)).reshape(-1, dim).T
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def signature(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        letters = np.where(x @ normals >= 0, b"1", b"0").astype("S1")
+        names = np.ascontiguousarray(letters).view(f"S{cfg.lsh_bits}").ravel()
+        offsets = np.arange(0, len(names) + 1, cfg.lsh_tables, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(names.astype(f"U{cfg.lsh_bits}"), pa.string()))
+
+    return signature
 
 
 def signatures(items: DataFrame, cfg: Config, dim: int, vector: str = "features") -> DataFrame:
     """items with one row for each table: table_idx, signature; rows of another dimension are dropped."""
-    each = F.array(*[F.struct(F.lit(t).alias("table_idx"), signature(F.col(vector), table).alias("signature")) for t, table in enumerate(planes(cfg, dim))])
-    return items.where(F.size(vector) == dim).withColumn("_s", F.explode(each)).select(*items.columns, "_s.table_idx", "_s.signature")
+    signed = items.where(F.size(vector) == dim).withColumn("_s", signature_of(cfg, dim)(F.col(vector)))
+    return signed.select(*items.columns, F.posexplode("_s").alias("table_idx", "signature"))
 
 
 def candidates(signed: DataFrame, probes: DataFrame, most: int) -> DataFrame:
@@ -50,7 +53,7 @@ def candidates(signed: DataFrame, probes: DataFrame, most: int) -> DataFrame:
 
 
 def bucket_stats(signed: DataFrame, dim: int, min_size: int, top_k: int, vector: str = "features") -> DataFrame:
-    """(table_idx, signature, size, means, example): the largest buckets; ties by table, then first insertion."""
+    """(table_idx, signature, size, means, example_ids): the largest buckets; ties by table, then first insertion."""
     means = F.array(*[F.avg(F.get(vector, F.lit(d))) for d in range(dim)])
-    per = signed.groupBy("table_idx", "signature").agg(F.count("*").alias("size"), means.alias("means"), F.min_by("sensor_id", "seq").alias("example"), F.min("seq").alias("first"))
+    per = signed.groupBy("table_idx", "signature").agg(F.count("*").alias("size"), means.alias("means"), F.array(F.min_by("sensor_id", "seq")).alias("example_ids"), F.min("seq").alias("first"))
     return per.where(F.col("size") >= min_size).orderBy(F.desc("size"), "table_idx", "first").limit(top_k)

@@ -22,8 +22,6 @@ from . import windows
 from .oracles import ORACLE_SQL
 
 CFG = Config()
-#: Settings small enough for an oracle: sketches, draws and samples, with the reference behaviour otherwise.
-SMALL = replace(CFG, reservoir_size=500, bootstrap_replicates=100)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -221,26 +219,25 @@ def lsh_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lsh_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures of 64-dimensional vectors, two tables of eight bits."""
-    cfg = replace(CFG, lsh_tables=2, lsh_bits=8)
-    return lsh.signatures(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("features")), cfg, 64).select("vec_id", "table_idx", "signature")
+    """Signatures of 64-dimensional vectors."""
+    return lsh.signatures(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("features")), CFG, 64).select("vec_id", "table_idx", "signature")
 
 
 @query
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     signed = _signed(spark, d)
-    return lsh.candidates(signed, signed.where(F.col("seq") % 500 == 0), 10)
+    return lsh.candidates(signed, signed.where(F.col("seq") % 50 == 0), 100)
 
 
 @query
 def lsh_bucket_stats(spark: SparkSession, d: str) -> DataFrame:
-    big = lsh.bucket_stats(_signed(spark, d), 4, 20, 10)
-    return big.select("table_idx", "signature", "size", F.round(F.get("means", F.lit(0)), 6).alias("mean_reading"), F.round(F.get("means", F.lit(1)), 6).alias("mean_confidence"), "example")
+    big = lsh.bucket_stats(_signed(spark, d), 4, 3, 10)
+    return big.select("table_idx", "signature", "size", F.round(F.get("means", F.lit(0)), 6).alias("mean_reading"), F.round(F.get("means", F.lit(1)), 6).alias("mean_confidence"), F.array_join("example_ids", ",").alias("example_ids"))
 
 
 @query
 def reservoir_global(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.reservoir(_rows(spark, d), 500).select("seq", F.round("key", 9).alias("key"))
+    return sampling.reservoir(_rows(spark, d), CFG.reservoir_size).select("seq", F.round("key", 9).alias("key"))
 
 
 @query
@@ -255,13 +252,13 @@ def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bootstrap_expectation(spark: SparkSession, d: str) -> DataFrame:
-    p = sampling.expectation(sampling.reservoir(_rows(spark, d), 500), CFG)
+    p = sampling.expectation(sampling.reservoir(_rows(spark, d), CFG.reservoir_size), CFG)
     return p.select("region", "n", F.round("p", 9).alias("p"))
 
 
 @query
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    b = sampling.bootstrap(sampling.reservoir(_rows(spark, d), 500), SMALL)
+    b = sampling.bootstrap(sampling.reservoir(_rows(spark, d), CFG.reservoir_size), CFG)
     return b.select("region", "n", *[F.round(c, 9).alias(c) for c in ("p_hat", "ci_low", "ci_high")])
 
 
@@ -309,19 +306,35 @@ def window_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def window_stats_lsh(spark: SparkSession, d: str) -> DataFrame:
     cfg = replace(CFG, ams_sketches=5)
-    return _stats(windows.window_stats_lsh(_records(spark, d), cfg), "ams_f2", F.size("lsh_big_buckets").cast("long").alias("n_big"))
+    big = F.array_join(F.transform("lsh_big_buckets", lambda b: F.concat_ws(":", b["table_idx"], b["signature"], b["size"], F.array_join(b["example_ids"], ","))), ";")
+    return _stats(windows.window_stats_lsh(_records(spark, d), cfg), "ams_f2", big.alias("lsh_big_buckets"))
 
 
 @query
 def evidence_fusion(spark: SparkSession, d: str) -> DataFrame:
-    s = windows.stage_stats(_records(spark, d), SMALL)
+    s = windows.stage_stats(_records(spark, d), CFG)
     return s.select("region", "sample_size", *[F.round(c, 9).alias(c) for c in ("p_hat", "ci_low", "ci_high", "sbf_saturation", "evidence_score")], "cms_total", "cms_abnormal", "hll_estimate")
 
 
+def _synthetic(spark: SparkSession) -> DataFrame:
+    """The synthetic stream as records: regions with enough abnormal readings for alerts."""
+    return sensors.synthetic(spark, CFG).withColumn("seq", F.col("i") + 1000 * F.substring("region", 2, 1).cast("long"))
+
+
 @query
 def alerts(spark: SparkSession, d: str) -> DataFrame:
-    cfg = replace(SMALL, severities=(("critical", 0.30), ("high", 0.15), ("medium", 0.05)))
-    return windows.alerts(windows.stage_stats(_records(spark, d), cfg), cfg).select("region", "window_id", "severity", F.round("score", 9).alias("score"), "reason", F.col("metrics.cms_total").alias("cms_total"))
+    out = windows.alerts(windows.stage_stats(_synthetic(spark), CFG), CFG, now=1_700_000_000.0)
+    metrics = [F.round(f"metrics.{c}", 9).alias(c) for c in ("p_hat", "ci_low", "ci_high", "heavy_bucket_ratio", "sbf_saturation")]
+    limits = F.to_json("thresholds").alias("thresholds")
+    return out.select("region", "window_id", "severity", F.round("score", 9).alias("score"), "reason", *metrics, *[F.col(f"metrics.{c}") for c in ("cms_total", "cms_abnormal", "hll_estimate")], _listed("metrics.heavy_buckets").alias("heavy_buckets"), limits, "timestamp")
+
+
+@query
+def alerts_after_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Regions that alert again: one last did within the cooldown, one at its end, one never."""
+    last = spark.createDataFrame([("R3", 1_699_999_701.0), ("R3", 1_600_000_000.0), ("R2", 1_699_999_700.0)], "region string, timestamp double")
+    cfg = replace(CFG, severities=(("critical", 0.75), ("high", 0.60), ("medium", 0.0)))
+    return windows.alerts(windows.stage_stats(_synthetic(spark), CFG), cfg, now=1_700_000_000.0, last=last).select("region", "severity")
 
 
 @query
@@ -353,7 +366,7 @@ def latest_stats(spark: SparkSession, d: str) -> DataFrame:
 def compare_report(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     out = windows.compare(records, windows.window_stats(records, CFG), CFG)
-    return out.select("region", "cms_total", "cms_abnormal", "exact_f2", "cms_total_diff", "cms_abnormal_diff", *[F.round(c, 10).alias(c) for c in ("p_hat_diff", "ci_low_diff", "ci_high_diff")], "hll_estimate_diff", F.round("ams_f2_rel_err", 10).alias("ams_f2_rel_err"), "counts_ok", "p_hat_ok", "ci_ok", "ams_f2_ok", "hll_ok")
+    return out.select("region", "cms_total", "cms_abnormal", "exact_f2", "cms_total_diff", "cms_abnormal_diff", *[F.round(c, 10).alias(c) for c in ("p_hat_diff", "ci_low_diff", "ci_high_diff")], "hll_estimate_diff", F.round("heavy_bucket_ratio_diff", 10).alias("heavy_bucket_ratio_diff"), F.round("ams_f2_rel_err", 10).alias("ams_f2_rel_err"), F.round("hll_rel_err", 10).alias("hll_rel_err"), "counts_ok", "p_hat_ok", "ci_ok", "heavy_ratio_ok", "ams_f2_ok", "hll_ok", F.col("r_cms_total").alias("reported_total"), F.round("r_p_hat", 10).alias("reported_p_hat"), F.col("r_hll_estimate").alias("reported_devices"))
 
 
 @query
@@ -369,10 +382,13 @@ def region_specs(spark: SparkSession, d: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftwell-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -393,7 +409,9 @@ def sink_csv(spark: SparkSession, d: str) -> DataFrame:
     out = _scratch(spark, "csv")
     CsvSink(out).write_stats(windows.window_stats(_records(spark, d), CFG), "w")
     back = spark.read.option("header", True).csv(f"{out}/stats.csv")
-    return back.select("region", F.col("cms_total").cast("long").alias("cms_total"), F.col("cms_abnormal").cast("long").alias("cms_abnormal"), "heavy_buckets")
+    header = F.lit(",".join(back.columns)).alias("header")
+    numbers = [F.round(F.col(c).cast("double"), 10).alias(c) for c in ("p_hat", "ci_low", "ci_high", "heavy_bucket_ratio", "ams_f2")]
+    return back.select(header, "window_id", "region", *numbers, *[F.col(c).cast("long").alias(c) for c in ("cms_total", "cms_abnormal", "hll_estimate")], "heavy_buckets", *[F.coalesce(c, F.lit("")).alias(c) for c in ("sample_size", "sbf_saturation", "evidence_score")])
 
 
 @query
@@ -430,7 +448,8 @@ def sbf_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import windows as streams
 
     rows = rec.prepared(streams.read_events(spark, f"{d}/events.parquet"), CFG).where(rec.suspect(CFG))
-    return _stream_to_end(spark, state.suspects_seen(rows, CFG), "append")
+    seen = _stream_to_end(spark, state.suspects_seen(rows, CFG), "append")
+    return seen.select("region", "seq", "sensor_id", ((F.col("saturation") > 0) & (F.col("saturation") <= 1)).alias("filled"))
 
 
 @query
@@ -442,3 +461,58 @@ def cooldown_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = rec.prepared(streams.read_events(spark, f"{d}/events.parquet"), CFG).where(rec.abnormal_device(CFG))
     hot = rows.select("region", F.unix_micros("ts").alias("us")).select("region", (F.col("us") / 1000000.0).alias("ts_seconds"))
     return _stream_to_end(spark, state.cooldown(hot, replace(CFG, cooldown_seconds=21600)), "append")
+
+
+def _complete(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """All rows of a streaming aggregate after the last batch."""
+    out = _scratch(spark, "stream")
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/rows")
+    df.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+@query
+def sliding_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of two-hour windows, one beginning each hour, as a stream."""
+    from ..streaming import windows as streams
+
+    rows = _complete(spark, streams.window_histogram(streams.read_events(spark, f"{d}/events.parquet"), CFG, "2 hours", "1 hour"))
+    return rows.select(F.unix_timestamp("start").alias("start"), "region", "bucket", "f")
+
+
+@query
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each device's abnormal readings, at most two days apart, as a stream."""
+    from ..streaming import windows as streams
+
+    rows = _complete(spark, streams.session_counts(streams.read_events(spark, f"{d}/events.parquet"), CFG, "2 days"))
+    return rows.select("sensor_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+@query
+def device_sketch_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct abnormal devices of each week by a HyperLogLog kept in a stream: within a tenth of the exact number."""
+    from ..streaming import windows as streams
+
+    rows = _complete(spark, streams.device_sketches(streams.read_events(spark, f"{d}/events.parquet"), CFG, "7 days"))
+    exact = _records(spark, d).transform(lambda r: rec.prepared(r, CFG)).where(rec.abnormal_device(CFG)).groupBy(F.window("ts", "7 days")["start"].alias("start")).agg(F.count_distinct("sensor_id").alias("n"))
+    both = exact.join(rows, "start")
+    return both.select(F.unix_timestamp("start").alias("start"), "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n") + 0.5).alias("within"))
+
+
+@query
+def ams_by_window(spark: SparkSession, d: str) -> DataFrame:
+    """Second moments that start anew with each window."""
+    rows = _rows(spark, d).withColumn("start", F.unix_timestamp(F.window("ts", "7 days")["start"]))
+    return ams.median_of_means(ams.accumulators(hist_ops.histogram(rows, "start"), CFG, "start"), CFG, "start")
+
+
+@query
+def row_counter(spark: SparkSession, d: str) -> DataFrame:
+    """The number of records that a window's run has read, observed as they pass."""
+    from pyspark.sql import Observation
+
+    seen = Observation("window")
+    rows = _rows(spark, d).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "window_count long")

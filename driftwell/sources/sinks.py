@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.request
 from datetime import UTC, datetime
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from ..config import Config
 #: The columns that rows are written with, in order.
 STATS_COLUMNS = ("region", "p_hat", "ci_low", "ci_high", "heavy_bucket_ratio", "heavy_buckets", "cms_total", "cms_abnormal", "hll_estimate", "ams_f2", "sample_size", "sbf_saturation", "evidence_score")
 ALERT_COLUMNS = ("region", "window_id", "severity", "score", "reason", "metrics", "thresholds", "timestamp")
-CSV_STATS = ("region", "p_hat", "ci_low", "ci_high", "sample_size", "heavy_bucket_ratio", "heavy_buckets", "cms_total", "cms_abnormal", "hll_estimate", "sbf_saturation", "evidence_score", "window_id", "write_ts")
-CSV_ALERTS = ("region", "severity", "score", "reason", "p_hat", "ci_low", "ci_high", "cms_total", "cms_abnormal", "hll_estimate", "sbf_saturation", "window_id", "timestamp", "write_ts")
+CSV_STATS = ("window_id", "region", "p_hat", "ci_low", "ci_high", "sample_size", "cms_total", "cms_abnormal", "heavy_bucket_ratio", "hll_estimate", "sbf_saturation", "evidence_score", "heavy_buckets", "ams_f2")
+CSV_ALERTS = ("window_id", "region", "severity", "score", "reason", "p_hat", "ci_low", "ci_high", "cms_total", "cms_abnormal", "heavy_bucket_ratio", "hll_estimate", "sbf_saturation", "timestamp")
 
 
 class Sink(Protocol):
@@ -58,7 +59,7 @@ class CsvSink:
         self.base = base
 
     def _append(self, df: DataFrame, columns: tuple[str, ...], window_id: str, name: str) -> None:
-        df = df.withColumns({"window_id": F.lit(window_id), "write_ts": F.lit(time.time())})
+        df = df.withColumn("window_id", F.lit(window_id))
         if "metrics" in df.columns:
             df = df.select("*", *[F.col(f"metrics.{c}") for c in df.schema["metrics"].dataType.names if c in columns and c not in df.columns])
         kinds = dict(df.dtypes)
@@ -73,13 +74,12 @@ class CsvSink:
 
 
 class StdoutSink:
-    """Prints the number of rows and one JSON document for each; rows are few, one for each region."""
+    """Prints the number of rows and one JSON document for each, partition by partition."""
 
     def _print(self, df: DataFrame, window_id: str, what: str) -> None:
-        rows = df.toJSON().take(10_000)
-        print(f"[{window_id}] {what}: {len(rows)}")
-        for row in rows:
-            print(row)
+        print(f"[{window_id}] {what}: {df.count()}")
+        for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator():
+            print(row.row)
 
     def write_stats(self, stats: DataFrame, window_id: str) -> None:
         self._print(_stamped(stats, STATS_COLUMNS, window_id), window_id, "stats")
@@ -89,14 +89,24 @@ class StdoutSink:
 
 
 class WebhookSink:
-    """Posts {window_id, items}; network errors are tried again, a final failure is printed."""
+    """Posts {window_id, items} in chunks of at most POST_ROWS items, so that any number of rows is sent whole; network
+    errors are tried again, a final failure is printed."""
+
+    POST_ROWS = 1000
 
     def __init__(self, url_stats: str, url_alerts: str, timeout: float = 5.0, retries: int = 2, pause: float = 0.3):
         self.url_stats, self.url_alerts = url_stats, url_alerts
         self.timeout, self.retries, self.pause = timeout, retries, pause
 
     def _post(self, url: str, df: DataFrame, window_id: str) -> bool:
-        body = json.dumps({"window_id": window_id, "items": [json.loads(x) for x in df.toJSON().take(10_000)]}, ensure_ascii=False).encode()
+        rows = (json.loads(r.row) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator())
+        sent, done = 0, True
+        while (items := list(islice(rows, self.POST_ROWS))) or not sent:
+            sent += 1
+            done = self._send(url, json.dumps({"window_id": window_id, "items": items}, ensure_ascii=False).encode()) and done
+        return done
+
+    def _send(self, url: str, body: bytes) -> bool:
         error: Exception | None = None
         for attempt in range(self.retries + 1):
             try:
@@ -111,10 +121,10 @@ class WebhookSink:
         return False
 
     def write_stats(self, stats: DataFrame, window_id: str) -> None:
-        self._post(self.url_stats, stats, window_id)
+        self._post(self.url_stats, stats.select(*[c for c in STATS_COLUMNS if c in stats.columns]), window_id)
 
     def write_alerts(self, alerts: DataFrame, window_id: str) -> None:
-        self._post(self.url_alerts, alerts, window_id)
+        self._post(self.url_alerts, alerts.select(*[c for c in ALERT_COLUMNS if c in alerts.columns]), window_id)
 
 
 def build_sinks(cfg: Config, now: datetime | None = None) -> tuple[list[Sink], str]:

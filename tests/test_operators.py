@@ -195,6 +195,33 @@ def test_config():
     assert cfg.risk == {"R2": 2.0} and cfg.default_risk == 1.5 and cfg.anomaly_reading == 100 and cfg.max_bucket == 20 and cfg.ams_sketches == 64 and cfg.sinks == ({"type": "stdout"},)
 
 
+def test_alert_settings():
+    cfg = from_dict({"alerts": {"min_evidence_score": 0.5, "min_hll_estimate": 7, "min_sample_size_for_alert": 9, "cooldown_seconds": 60, "severity_thresholds": {"high": 0.7}}, "stable_bloom": {"counter_bits": 5}, "estimation": {"rng_seed": 3}})
+    assert (cfg.min_evidence_score, cfg.min_hll_estimate, cfg.min_sample_size_for_alert, cfg.cooldown_seconds, cfg.bloom_max, cfg.bootstrap_seed) == (0.5, 7, 9, 60, 31, 3)
+    assert cfg.severities == (("critical", 0.75), ("high", 0.7), ("medium", 0.45))
+
+
+def test_sinks_send_every_row(spark, monkeypatch, capsys):
+    rows = spark.range(25).selectExpr("concat('R', id) AS region", "id * 1.0 AS p_hat")
+    sinks.StdoutSink().write_stats(rows, "w")
+    assert len(capsys.readouterr().out.splitlines()) == 26
+    sent = []
+    monkeypatch.setattr(sinks.WebhookSink, "POST_ROWS", 10)
+    monkeypatch.setattr(sinks.WebhookSink, "_send", lambda self, url, body: sent.append(__import__("json").loads(body)) or True)
+    sinks.WebhookSink("u", "v").write_stats(rows, "w")
+    assert [len(x["items"]) for x in sent] == [10, 10, 5] and sent[0]["items"][0] == {"region": "R0", "p_hat": 0.0}
+
+
+def test_relative_errors_of_nothing(spark, sample):
+    """Where the exact value is 0 the relative error is 0, whatever was reported."""
+    records = sample.select("sensor_id", "region", "reading", "confidence")
+    reported = windows.window_stats(records, CFG).withColumn("hll_estimate", F.lit(5).cast("long"))
+    out = windows.compare(records.where("confidence < 0.5"), reported, CFG)
+    assert all(r.hll_rel_err == 0.0 and r.hll_ok for r in out.collect())
+    row = windows.nested(out).first().asDict(recursive=True)
+    assert list(row) == ["region", "ref", "reported", "diffs", "status"] and "hll_estimate(ref_global)" in row["ref"] and row["reported"]["heavy_buckets"] is not None
+
+
 def test_synthetic_shares(spark):
     rows = sensors.synthetic(spark, CFG).toPandas()
     assert len(rows) == 950 and rows["reading"].isna().sum() == pytest.approx(950 * 0.04, abs=25)
@@ -209,6 +236,7 @@ def test_run_and_compare(spark, tmp_path):
     run_dir = run(spark, cfg)
     report = compare_run(spark, run_dir, cfg).collect()
     assert [r.region for r in report] == ["R2", "R3", "R4"] and all(r.p_hat_ok and r.ci_ok and r.hll_ok for r in report)
-    assert spark.read.json(f"{run_dir}/results/compare.jsonl").count() == 3
+    written = spark.read.json(f"{run_dir}/results/compare.jsonl")
+    assert written.count() == 3 and set(written.columns) == {"region", "ref", "reported", "diffs", "status"}
     with pytest.raises(SystemExit):
         main(["compare"])
