@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import mix
-from ._shared import BUCKET_BYTES, grown, in_buckets, n_tasks, text_bytes
+from ._shared import BUCKET_BYTES, grown, in_buckets, n_tasks, partitions, text_bytes
 
 #: Different pages of one host from which a subtree belongs to the site's template, with and without other evidence.
 MANY_PAGES, FEW_PAGES = 10, 3
@@ -358,7 +358,8 @@ def main_text(pages: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """page_id, url, text, n_template (subtrees deleted as the host's) for each row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     total = text_bytes(rows, "html")
-    bucket_bytes = grown(bucket_bytes, total, 64 << 20)
+    # Few pages are dealt over smaller buckets, so that every task has some.
+    bucket_bytes = grown(min(bucket_bytes, max(256 << 10, total // partitions(pages.sparkSession))), total, 64 << 20)
     n, n_ranges = n_tasks(pages.sparkSession, total), max(1, math.ceil(total / grown(RANGE_BYTES, total, 512 << 20)))
     dealt = in_buckets(rows, total, "page_id", "url", "html", bucket_bytes=bucket_bytes)
     blocks = dealt.groupBy("bucket").applyInArrow(send(n_ranges, MANY_PAGES), "bucket int, range int, keys binary, pages binary")
