@@ -6,6 +6,8 @@ which in UTF-8 are the matches of ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,14 +61,14 @@ def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     letters = np.ascontiguousarray(buf[~SPACE[buf]])
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def hashed(words: list[bytes], seed: int = 0) -> np.ndarray:
     """XXH64 of each word."""
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), dtype=_U, count=len(words))
+    return np.fromiter(map(xxh64_intdigest, words, repeat(seed)), dtype=_U, count=len(words))
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
