@@ -102,6 +102,15 @@ def _distinct(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct entry, the number of its distinct entry for each), distinct entries in rising order."""
+    order = np.argsort(x)
+    first = _distinct(x[order])
+    numbers = np.empty(len(x), dtype=np.int64)
+    numbers[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(x)))
+    return order[first], numbers
+
+
 def _packed(raw: bytes) -> bytes:
     import zstandard
 
@@ -273,42 +282,40 @@ class Automaton:
         # Contexts of two words, STATE times or more: before is where their second word stands.
         stated = inner & (context >= STATE)
         before = np.flatnonzero(stated) - 1
-        _, place, number = np.unique(full[before], return_index=True, return_inverse=True)
+        place, number = _numbered(full[before])
         two_state = np.zeros(len(ids), dtype=np.int64)
         two_state[before] = 1 + size + number
         # The longest context that is a state, after each token. Words never seen in training lead to the root.
         word_state = np.where(words > 0, np.arange(1, size + 1), 0)
         after = np.where(two_state > 0, two_state, word_state[ids])
-        self.start = int(word_state[0])
+        self.start = int(word_state[0]) * size
         b, a = weight(2, words), weight(3, pairs[before[place]])
         self.fail_weight = np.concatenate([[0.0], log(1 - b), log(1 - a)]).tolist()
-        self.fail = np.concatenate([[0], np.zeros(size, np.int64), word_state[ids[before[place]]]]).tolist()
-        # Arcs of the root, of words and of contexts, each by one of its places.
+        self.fail = (np.concatenate([[0], np.zeros(size, np.int64), word_state[ids[before[place]]]]) * size).tolist()
+        # Arcs of the root, of words and of contexts, by their places: an arc is the same at each, so any of them serves.
         roots = np.unique(ids)
         two = np.where(words[last] > 0, b[last] * pairs / np.maximum(words[last], 1) + (1 - b[last]) * one[ids], one[ids])
         pair_at = np.flatnonzero((pairs > 0) & (words[last] > 0))
-        pair_keys, which = np.unique(word_state[last[pair_at]] * size + ids[pair_at], return_index=True)
-        pair_at = pair_at[which]
         triple_at = np.flatnonzero(stated & (triples > 0))
-        triple_keys, which = np.unique(two_state[triple_at - 1] * size + ids[triple_at], return_index=True)
-        triple_at = triple_at[which]
         w = weight(3, context[triple_at])
         three = w * triples[triple_at] / context[triple_at] + (1 - w) * two[triple_at]
-        arcs = np.concatenate([roots, pair_keys, triple_keys])
+        arcs = np.concatenate([roots, word_state[last[pair_at]] * size + ids[pair_at], two_state[triple_at - 1] * size + ids[triple_at]])
         self.arcs = dict(zip(arcs.tolist(), range(len(arcs))))
         self.weights = log(np.concatenate([one[roots], two[pair_at], three])).tolist()
-        self.next = np.concatenate([word_state[roots], after[pair_at], after[triple_at]]).tolist()
+        #: States that arcs and failure arcs lead to, times the width: a word added gives the arc from there.
+        self.next = (np.concatenate([word_state[roots], after[pair_at], after[triple_at]]) * size).tolist()
 
     def read(self, ids: list[int]) -> float:
         """The log10 probability of a text: one traversal from left to right."""
-        arcs, weights, following, fail, fail_weight, width = self.arcs, self.weights, self.next, self.fail, self.fail_weight, self.width
+        arc_at, weights, following, fail, fail_weight, width = self.arcs.get, self.weights, self.next, self.fail, self.fail_weight, self.width
         state, total = self.start, 0.0
         for w in ids:
-            arc = arcs.get(state * width + w)
+            arc = arc_at(state + w)
             while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = arcs.get(state * width + w)
+                number = state // width
+                total += fail_weight[number]
+                state = fail[number]
+                arc = arc_at(state + w)
             total += weights[arc]
             state = following[arc]
         return total
