@@ -125,7 +125,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, names: bool) -> DataFrame:
     few = own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     small = F.broadcast if few else (lambda df: df)
     # Windows as written are added only where they differ from those of the template, around a placeholder.
-    read = _with(templates(rows, "doc_id", "at", names=names).drop("plain").where(F.size("tokens") >= WINDOW), last=F.size("tokens") - WINDOW)
+    # Tokens are fixed before the filter: pushed below a projection it would compute them a second time.
+    read = _with(_whole(rows, names), raw=_tokens(F.lower("text")), tokens=_tokens(_template(F.col("text")))).select("doc_id", "at", "raw", "tokens").where(F.size("tokens") >= WINDOW)
+    read = _with(read, last=F.size("tokens") - WINDOW)
     other = F.array_compact(F.transform(F.zip_with("tokens", "raw", lambda a, b: a != b), lambda differs, j: F.when(differs, j)))
     read = _with(read, other=other)
     around = F.array_distinct(F.flatten(F.transform("other", lambda j: F.sequence(F.greatest(j - (WINDOW - 1), F.lit(0)), F.least(j, F.col("last"))))))
