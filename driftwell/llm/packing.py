@@ -9,7 +9,7 @@ one shape.
 
 All ids come from the ``tokenizers`` library and the file it is given. A byte-level
 tokenizer that cuts texts by the usual pattern never joins a character with a single blank
-that follows it, nor a letter with a mark, so texts are taken apart there, and each
+that follows it, nor a letter with a digit or a mark, so texts are taken apart there, and each
 distinct piece is encoded once; with any other tokenizer, and for texts that
 hold an added token's content, whole texts are encoded.
 
@@ -35,12 +35,27 @@ from pyspark.sql import functions as F
 from ._arrays import SPACE, text_buffer
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
-#: Encoded pieces that a worker keeps, beyond which it starts anew. Bounds memory, not results.
-KEPT = 800_000
+#: Encoded pieces beyond which a worker starts a new set and keeps the last one, from which it takes over what comes again.
+#: Bounds memory, not results.
+KEPT = 250_000
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
-_LETTER = np.array([chr(c).isalpha() and c < 0x80 for c in range(256)])
-_MARK = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
+#: Kinds of bytes: none of these, letter, digit, mark, apostrophe, control character, first byte of a character of two that is no white space.
+_FIRST, _CONTROL, _PAIR = 1, 5, 6
+
+
+def _kind(c: int) -> int:
+    if c >= 0x80:
+        return _PAIR if 0xC3 <= c <= 0xDF else 0
+    if 0x20 < c < 0x7F:
+        return 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 4 if chr(c) == "'" else 3
+    return 0 if c == 0x20 or 0x09 <= c <= 0x0D or 0x1C <= c <= 0x1F else _CONTROL
+
+
+_KIND = np.array([_kind(c) for c in range(256)], dtype=np.int8)
+#: Whether the pattern never joins a byte of kind a and a following one of kind b, at 8 a + b.
+_APART = np.zeros(64, dtype=bool)
+_APART[[8 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2))]] = True
 
 
 class Ids:
@@ -57,21 +72,24 @@ class Ids:
         added = [t["content"] for t in raw.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.kept: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, taken apart before each single blank between two characters that are no white space, and between
-        an ASCII letter and an ASCII mark."""
+        an ASCII letter, digit and mark, save after an apostrophe, which the pattern may join with a letter."""
         buf, off = text_buffer(pa.array(texts, pa.large_string()))
-        # Other white space than ASCII's is made of bytes from 0x80 on: next to such a byte nothing is taken apart.
-        odd = SPACE[buf] | (buf >= 0x80)
-        blank = buf == 0x20
+        # Other white space than ASCII's takes three bytes or starts with 0xC2; characters of two bytes from 0xC3 on are none.
+        kind = _KIND[buf]
+        starts = (kind >= _FIRST) & (kind <= _PAIR)
+        ends = (kind >= _FIRST) & (kind < _PAIR)
+        ends[1:] |= kind[:-1] == _PAIR
         cut = np.zeros(len(buf), dtype=bool)
-        cut[1:-1] = blank[1:-1] & ~odd[:-2] & ~odd[2:]
-        # Nor does the pattern join a letter and a mark that follows it.
-        cut[1:] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
+        cut[1:-1] = (buf[1:-1] == 0x20) & ends[:-2] & starts[2:]
+        # Nor does the pattern join letters, digits and marks.
+        cut[1:] |= _APART[kind[:-1].astype(np.int8) * 8 + kind[1:]]
         cut[off[:-1][off[:-1] < len(buf)]] = True
         # A document's first piece starts with it, and one of no text has none.
         starts = np.flatnonzero(cut)
@@ -80,8 +98,11 @@ class Ids:
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.before, self.kept = self.kept, {}
         new = [x for x in distinct if x not in self.kept]
+        if self.before:
+            self.kept.update((x, self.before[x]) for x in new if x in self.before)
+            new = [x for x in new if x not in self.before]
         self.kept.update(zip(new, self.whole([x.decode() for x in new])))
         ids = [self.kept[x] for x in distinct]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4

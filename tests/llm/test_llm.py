@@ -749,3 +749,39 @@ def test_fuzzy_hash_tells_edits_from_others():
     far = ctph.likeness([(prints[i], prints[i - 1]) for i in range(60)])
     assert near.min() > 0.4 and np.median(near) > 0.65 and far.max() < 0.3
     assert ctph.likeness([("3::", "3::"), ("3:abc:b", "3:abc:b"), ("3:abcdefgh:b", "12:abcdefgh:b")]).tolist() == [1.0, 1.0, 0.0]
+
+
+def test_packing_takes_texts_apart_where_the_tokenizer_does():
+    """Pieces against whole texts over all kinds of white space, marks and letters; words beside accents are kept once."""
+    import random
+
+    import public_tokenizers
+
+    from driftwell.llm import packing
+
+    made = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    some = ["a", "B", "é", "ß", "×", "1", "9", ".", "'", "-", "_", "s", "re", "'s", "'ll", " ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", " ", "　", "\x00", "\x7f", "́", "中", "😀", "²", "Ж"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 25))) for _ in range(20000)]
+    assert made.of(texts) == made.whole(texts)
+    words = ["été", "ça", "là", "x1", "1x", "(y"]
+    made.kept.clear()
+    texts = [f"o {a} {b} o" for a in words for b in words]
+    assert made.of(texts) == made.whole(texts)
+    assert len(made.kept) <= 11
+
+
+def test_packing_keeps_pieces_that_come_again(monkeypatch):
+    import public_tokenizers
+
+    from driftwell.llm import packing
+
+    made = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "KEPT", 20)
+    encoded, whole = [], made.whole
+    monkeypatch.setattr(made, "whole", lambda texts: encoded.extend(texts) or whole(texts))
+    for i in range(50):
+        text = " ".join(["often", *[f"n{chr(97 + i % 26)}{chr(97 + j)}{'x' * (i // 26)}" for j in range(15)], "often"])
+        assert made.of([text]) == whole([text])
+        assert len(made.kept) + len(made.before) <= 80
+    assert encoded.count(" often") == 1
