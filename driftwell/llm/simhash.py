@@ -14,8 +14,9 @@ Components come from alternating large-star and small-star rounds.
 ``deduplicate`` can also link near copies: texts whose sets of five-word shingles (of ASCII
 lower case) have a Jaccard index of 0.8 or more. Candidates share one of 32 bands of five
 minima, which misses a pair at exactly 0.8 three times in a million; each candidate is
-verified on the whole sets. Texts under a key that very many share are paired in small
-random blocks, other ones for each of their keys.
+verified on the whole sets. Texts under a key that very many share are first paired in small
+random blocks, other ones for each of their keys; then those that different components still
+share are compared across components by prefix filtering, which misses none.
 
 Defined cases: fewer than three words: the whole sequence is one shingle; no words or
 null text: fingerprint zero, linked like any other; null ids count last for the smallest
@@ -26,15 +27,17 @@ empty table gives no rows; further columns are dropped by ``classes``, kept by `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import nullcontext
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays
-from ._shared import cut, join_hot, whole_row
+from ._shared import cut, cut_table, join_hot, small_batches, whole_row
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Offset and width of each segment.
@@ -45,8 +48,10 @@ GENERATOR = 0b110001110101
 PAIRED_KEY = 32
 #: Words of a shingle and Jaccard index from which texts are near copies; bands and minima in each.
 NEAR_WORDS, NEAR_SHARE, BANDS, MINIMA = 5, 0.8, 32, 5
-#: Texts in a block on average, where more than PAIRED_KEY share a band's key.
-BLOCK = 4
+#: Texts in a block on average, where more than PAIRED_KEY share a band's key; in one of those that exact comparison deals them over.
+BLOCK, COMPARED = 4, 256
+#: Bytes of text whose shingles are made together.
+SLICE = 1 << 20
 _MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * MINIMA, 1), dtype=np.uint64)
 _MULTIPLY |= np.uint64(1)
 
@@ -186,20 +191,31 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
-def near_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between the fingerprints of texts that are near copies; prints: at, fp."""
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE bytes: the arrays made of them are many times as large."""
+    sizes, lo, size = pc.binary_length(texts).fill_null(0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= SLICE or i + 1 == len(sizes):
+            yield lo, i + 1
+            lo, size = i + 1, 0
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch["at"].to_numpy()
-            sets = shingle_sets(batch["text"])
-            some = [i for i, x in enumerate(sets) if len(x)]
-            keys = np.concatenate([np.zeros(0, np.uint64), *[band_keys(sets[i]) for i in some]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(at[some], BANDS))], names=["key", "at"])
+
+def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """at, shingles (their hashes in rising order, eight bytes each) of each distinct text whose hash is in asked."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["at"], pa.array([x.tobytes() for x in shingle_sets(batch["text"])], pa.binary())], names=["at", "shingles"])
+            for lo, hi in _slices(batch["text"]):
+                sets = shingle_sets(batch["text"][lo:hi])
+                yield pa.RecordBatch.from_arrays([batch["at"][lo:hi], pa.array([x.tobytes() for x in sets], pa.binary())], names=["at", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("at"), "text")
+    return cut(texts.join(asked, "at", "left_semi").dropDuplicates(["at"]).mapInArrow(whole, "at long, shingles binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints for those pairs of texts that are near copies; pairs: a, b, fa, fb."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,37 +226,118 @@ def near_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
                 near.append(both >= NEAR_SHARE * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    full = pairs.join(sets.select(F.col("at").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("at").alias("b"), F.col("shingles").alias("y")), "b")
+    found = full.select(F.col("fa").alias("a"), F.col("fb").alias("b"), "x", "y").mapInArrow(verified, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different components, with their fingerprints fa and fb. Of others nothing more is to be learnt."""
+    side = lambda c, fp, of: prints.select(F.col("at").alias(c), F.col("fp").alias(fp), F.col("component").alias(of))
+    return cut(pairs.join(side("a", "fa", "ca"), "a").join(side("b", "fb", "cb"), "b").where("ca <> cb").drop("ca", "cb"))
+
+
+def _mixed(keys: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows (key, at) of those keys whose texts lie in several components."""
+    of = keys.join(prints.select("at", "component"), "at").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return keys.join(of.where("lo <> hi").select("key"), "key", "left_semi")
+
+
+def near_links(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (a, b) between the fingerprints of texts that are near copies, without those that only crowded keys give; these
+    keys (key, at), where they hold several components; and the shingles (at, shingles) of all texts compared or under
+    such a key. prints: at, fp, component, a row for each text."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _slices(batch["text"]):
+                at = batch["at"][lo:hi].to_numpy()
+                sets = shingle_sets(batch["text"][lo:hi])
+                some = [i for i, x in enumerate(sets) if len(x)]
+                keys = np.concatenate([np.zeros(0, np.uint64), *[band_keys(sets[i]) for i in some]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(at[some], BANDS))], names=["key", "at"])
+
     texts = docs.select(F.xxhash64("text").alias("at"), "text")
-    keys = cut(texts.mapInArrow(keyed, "key long, at long").distinct())
+    keys = cut_table(texts.mapInArrow(keyed, "key long, at long").distinct())
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     block = F.when(F.col("n") > PAIRED_KEY, F.pmod(F.xxhash64("key", "at"), F.ceil(F.col("n") / BLOCK))).otherwise(0)
     blocks = keys.join(sizes, "key").groupBy("key", block.alias("block")).agg(F.collect_list("at").alias("ats"))
     each = F.flatten(F.transform("ats", lambda a: F.transform(F.filter("ats", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = blocks.where(F.size("ats") > 1).select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
-    # Of pairs whose fingerprints are linked anyway nothing more is to be learnt.
-    known = prints.select("at", "fp", "component").distinct()
-    side = lambda c, fp, of: known.select(F.col("at").alias(c), F.col("fp").alias(fp), F.col("component").alias(of))
-    pairs = cut(pairs.join(side("a", "fa", "ca"), "a").join(side("b", "fb", "cb"), "b").where("ca <> cb").drop("ca", "cb"))
-    asked = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
-    sets = cut(texts.join(asked, "at", "left_semi").dropDuplicates(["at"]).mapInArrow(whole, "at long, shingles binary"))
-    full = pairs.join(sets.select(F.col("at").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("at").alias("b"), F.col("shingles").alias("y")), "b")
-    found = full.select(F.col("fa").alias("a"), F.col("fb").alias("b"), "x", "y").mapInArrow(verified, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _apart(pairs, prints)
+    crowded = keys.join(sizes.where(F.col("n") > PAIRED_KEY).select("key"), "key", "left_semi")
+    crowded = cut_table(_mixed(crowded, prints))
+    # Texts are shuffled once for both comparisons.
+    asked = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).unionByName(crowded.select("at")).distinct()
+    sets = _sets_of(docs, asked)
+    return _verified(pairs, sets), crowded, sets
+
+
+def crowded_links(prints: DataFrame, crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the fingerprints of all near copies that share a crowded key and lie in different components.
+
+    Exact, by prefixes: in one order of all shingles, rare ones first, the first shingle that two near copies share is among
+    the first fifth of either, and after it either has as many left as they must share. Texts that share such a shingle are
+    compared across components: those of its largest component with the others, these with each other, in blocks.
+    prints: at, fp, component, a row for each text; crowded: key, at; sets: at, shingles.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part["shingles"]]
+                n = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["at"].to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["at", "size", "shingle"])
+
+    asked = cut(_mixed(crowded, prints).select("at").distinct())
+    if asked.isEmpty():
+        return prints.sparkSession.createDataFrame([], "a long, b long")
+    sets = cut(sets.join(asked, "at", "left_semi"))
+    shingles = sets.mapInArrow(flat, "at long, size long, shingle long")
+    # A shingle of one text gives no pair: it only takes a place before all others.
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    ordered = shingles.join(counts, "shingle").groupBy("at", "size").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    first = F.col("size") - F.ceil(F.col("size") * NEAR_SHARE - 1e-6) + 1 - (F.col("size") - F.size("s"))
+    prefix = ordered.withColumn("first", first.cast("int")).where(F.col("first") > 0)
+    prefix = prefix.select("at", "size", F.size("s").alias("common"), F.posexplode(F.slice("s", F.lit(1), F.col("first"))).alias("i", "s"))
+    # What a text has from this shingle on, alone or shared.
+    prefix = prefix.select("at", "size", (F.col("common") - F.col("i")).alias("left"), F.col("s.shingle").alias("shingle"))
+    members = cut(prefix.join(prints.select("at", "component"), "at"))
+    parts = members.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    groups = groups.where(F.col("parts") > 1).select("shingle", "main", F.ceil(F.col("n") / COMPARED).alias("blocks"))
+    members = cut(members.join(groups, "shingle"))
+    own = members.withColumn("block", F.pmod(F.xxhash64("at"), "blocks"))
+    others = members.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x, y = own.alias("x"), others.alias("y")
+    must = (F.col("x.size") + F.col("y.size")) * (NEAR_SHARE / (1 + NEAR_SHARE)) - 1e-6
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
+    once = (F.col("x.component") == F.col("x.main")) | (F.col("x.at") < F.col("y.at"))
+    pairs = x.join(y, met & once & (F.least("x.left", "y.left") >= must)).select(F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct()
+    return _verified(_apart(pairs, prints), sets)
 
 
 def classes(docs: DataFrame, near: bool = False) -> DataFrame:
     """doc_id, at, fp, component (its root fingerprint), component_id (smallest doc_id) for each row of docs; near: whether near copies link too."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = cut(links(distinct)) if near else links(distinct)
-    roots = components(edges).withColumnRenamed("node", "fp")
-    if near:
-        linked = prints.join(roots, "fp", "left").select("at", "fp", F.coalesce("root", "fp").alias("component"))
-        roots = components(edges.unionByName(near_links(docs, linked))).withColumnRenamed("node", "fp")
-    own = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
-    own = cut(own)
-    ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = own.select("fp", "component").join(ids, "component")
+    with small_batches(docs.sparkSession) if near else nullcontext():
+        prints = cut(fingerprints(docs))
+        distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        edges = cut(links(distinct)) if near else links(distinct)
+        roots = components(edges).withColumnRenamed("node", "fp")
+        if near:
+            texts = cut(prints.select("at", "fp").distinct())
+            in_parts = lambda of: texts.join(of, "fp", "left").select("at", "fp", F.coalesce("root", "fp").alias("component"))
+            close, crowded, sets = near_links(docs, cut(in_parts(roots)))
+            edges = cut(edges.unionByName(close))
+            roots = components(edges).withColumnRenamed("node", "fp")
+            more = cut(crowded_links(cut(in_parts(roots)), crowded, sets))
+            if not more.isEmpty():
+                roots = components(edges.unionByName(more)).withColumnRenamed("node", "fp")
+        own = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
+        own = cut(own)
+        ids = own.groupBy("component").agg(F.min("first").alias("component_id"))
+        by_print = own.select("fp", "component").join(ids, "component")
     # A fingerprint may belong to a large part of all rows.
     return join_hot(prints, by_print, "fp").select("doc_id", "at", "fp", "component", "component_id")
 

@@ -59,3 +59,28 @@ def test_near_copies_are_removed(spark, monkeypatch, paired):
 def test_near_dedup_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.near_dedup(spark, docs, "").count() == 0
+
+
+def test_near_copies_in_a_crowd_are_removed(spark):
+    """Texts around one template, of which only a few are near copies of each other: a band's key holds far more than PAIRED_KEY."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, near = [], []
+    for _ in range(4):
+        template = [word() for _ in range(300)]
+        for own in (34, 34, *[60] * 200):
+            texts.append(" ".join(template + [word() for _ in range(own)]))
+        near.append((len(texts) - 202, len(texts) - 201))
+    fps = [simhash.fingerprint(t) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or (j, i) in near:
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    sets = [shingles(t) for t in texts]
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in near)
+    assert max(jaccard(sets[a], s) for a, b in near for i, s in enumerate(sets) if i not in (a, b)) < 0.8
+    assert max(jaccard(sets[i], sets[i - 1]) for i in range(len(texts)) if i % 202 > 3) < 0.75
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs, near=True).collect()) == sorted(set(up))
