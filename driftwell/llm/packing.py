@@ -37,9 +37,9 @@ from ._arrays import SPACE, text_buffer
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
 #: Encoded pieces beyond which a worker starts a new set and keeps the last one, from which it takes over what comes again.
 #: Bounds memory, not results.
-KEPT = 250_000
-#: Bytes of text that are encoded together.
-SLICE = 4 << 20
+KEPT = 200_000
+#: Bytes of text that are taken apart together, and strings that the tokenizer gets at once: what it returns takes a kilobyte for each.
+SLICE, AT_ONCE = 2 << 20, 4096
 #: Kinds of bytes: none of these, letter, digit, mark, apostrophe, control character, first byte of a character of two that is no white space.
 _FIRST, _CONTROL, _PAIR = 1, 5, 6
 
@@ -75,7 +75,8 @@ class Ids:
         self.before: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[at : at + AT_ONCE] for at in range(0, len(texts), AT_ONCE))
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, taken apart before each single blank between two characters that are no white space, and between
